@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,25 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def held_out(column: str = "doc_id"):
     """crc32 of the id's text modulo 3 is 1; rows without an id are not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def _summing(dtype: str):
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(v.as_buffer(), dtype)
+                if k in sums:
+                    sums[k] += x
+                else:
+                    sums[k] = x.copy()
+        if sums:
+            yield pa.RecordBatch.from_pydict({"key": pa.array(list(sums), pa.string()), "blob": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+
+    return run
+
+
+def partition_sums(parts: DataFrame, dtype: str, fan: int = 32) -> dict[str, np.ndarray]:
+    """Sum of the arrays ``blob`` of each ``key``: streamed in two levels, so memory is one array a key."""
+    rows = parts.repartition(fan).mapInArrow(_summing(dtype), "key string, blob binary").repartition(1).mapInArrow(_summing(dtype), "key string, blob binary").collect()
+    return {r["key"]: np.frombuffer(r["blob"], dtype) for r in rows}
