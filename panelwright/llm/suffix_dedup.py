@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .suffixes import PERIOD, Block
-from .support import table, text_bytes
+from .support import table, text_bytes, tidied, tidied_pair
 
 LENGTH = 50
 GRAM = 24
-GROUP_BYTES = 12 << 20
-BLOCK_ROWS = 120_000
+GROUP_BYTES = 4 << 20
+BLOCK_ROWS = 60_000
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -98,7 +98,7 @@ def _group_runs(t: pa.Table, length: int, gram: int) -> Iterator[tuple]:
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     doc = ids.fill_null(0).to_numpy(zero_copy_only=False)
     data, offsets = tk.buffers(t["text"])
-    for i, _, part, at in tk.chunks(data, offsets, 2 << 20):
+    for i, _, part, at in tk.chunks(data, offsets, 1 << 20):
         label, place, first, count = _runs(part, at, length, gram)
         row = np.searchsorted(at, first, "right") - 1
         own = known[i + row]
@@ -109,6 +109,30 @@ def _bucket(label: np.ndarray, buckets: int) -> np.ndarray:
     return ((label >> tk.U64(40)) * tk.U64(buckets) >> tk.U64(24)).astype(np.int32)
 
 
+def _key(label: np.ndarray, buckets: int) -> np.ndarray:
+    """What stands for a label: its bucket and 40 of its other bits.  A clash costs work, never a result."""
+    return (_bucket(label, buckets).astype(np.uint64) << tk.U64(40)) | (label & tk.U64((1 << 40) - 1))
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack(bucket: int, blob: bytes) -> np.ndarray:
+    five = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
+    return out.view("<u8").ravel() | (tk.U64(bucket) << tk.U64(40))
+
+
+def _squeeze(data: bytes) -> bytes:
+    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _expand(blob: bytes, size: int, dtype) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(blob, size, asbytes=True), dtype)
+
+
 _LABELS = "bucket int, g int, labels binary, many binary"
 
 
@@ -117,7 +141,7 @@ def _labels(buckets: int, length: int, gram: int):
         t = _rows(t)
         labels, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, _, _, doc, label, *_ in _group_runs(t, length, gram):
-            labels.append(label)
+            labels.append(_key(label, buckets))
             docs.append(doc)
         label, doc = np.concatenate(labels), np.concatenate(docs)
         del labels, docs
@@ -126,10 +150,10 @@ def _labels(buckets: int, length: int, gram: int):
         first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if len(label) else np.zeros(0, np.int64)
         many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
         label = label[first]
-        b = _bucket(label, buckets)
+        b = label >> tk.U64(40)
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
         g = t["g"][0].as_py()
-        rows = [{"bucket": int(b[i]), "g": g, "labels": label[i:j].tobytes(), "many": np.packbits(many[i:j]).tobytes()} for i, j in zip(cut, [*cut[1:], len(b)], strict=True)]
+        rows = [{"bucket": int(b[i]), "g": g, "labels": _pack(label[i:j]), "many": np.packbits(many[i:j]).tobytes()} for i, j in zip(cut, [*cut[1:], len(b)], strict=True)]
         return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("labels", pa.binary()), ("many", pa.binary())]))
 
     return run
@@ -138,7 +162,8 @@ def _labels(buckets: int, length: int, gram: int):
 def _shared(t: pa.Table) -> pa.Table:
     """Of a bucket's labels, those of two documents or more, back to each group that has them."""
     group = t["g"].to_pylist()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["labels"]]
+    bucket = t["bucket"][0].as_py()
+    sets = [_unpack(bucket, x.as_py()) for x in t["labels"]]
     label = np.concatenate(sets)
     many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(s)) for x, s in zip(t["many"], sets, strict=True)]).astype(bool)
     order = np.argsort(label, kind="stable")
@@ -153,12 +178,13 @@ def _shared(t: pa.Table) -> pa.Table:
         own = x[keep[at : at + len(x)]]
         at += len(x)
         if len(own):
-            out.append({"g": g, "labels": own.tobytes()})
-    return pa.Table.from_pylist(out, schema=pa.schema([("g", pa.int32()), ("labels", pa.binary())]))
+            out.append({"g": g, "bucket": bucket, "labels": _pack(own)})
+    return pa.Table.from_pylist(out, schema=pa.schema([("g", pa.int32()), ("bucket", pa.int32()), ("labels", pa.binary())]))
 
 
-_EXCERPTS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("head", pa.binary()), ("bytes", pa.binary())])
-_HEAD = np.dtype([("doc", "<i8"), ("row", "<i4"), ("start", "<i8"), ("count", "u1"), ("lead", "u1")])
+_EXCERPTS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), ("head", pa.binary()), ("shape", pa.binary()), ("bytes", pa.binary())])
+_HEAD = np.dtype([("doc", "<i8"), ("row", "<i4"), ("start", "<i8"), ("ex", "<i4")])
+_SHAPE = np.dtype([("count", "u1"), ("lead", "u1")])
 _SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("end", "<i8")])
 _EXCERPT, _SETTLED = 0, 1
 
@@ -169,14 +195,18 @@ def _excerpts(buckets: int, length: int, gram: int):
             return _EXCERPTS.empty_table()
         t = _rows(t)
         g = t["g"][0].as_py()
-        wanted = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in labels["labels"]]))
-        heads, parts, keys, names = [], [], [], []
+        wanted = np.sort(np.concatenate([_unpack(k, x) for k, x in zip(labels["bucket"].to_pylist(), labels["labels"].to_pylist(), strict=True)]))
+        heads, shapes, parts, keys, names = [], [], [], [], []
         for part, at, row, doc, label, place, first, count, local in _group_runs(t, length, gram):
-            i = np.minimum(np.searchsorted(wanted, label), len(wanted) - 1)
-            own = np.flatnonzero(wanted[i] == label)
+            name = _key(label, buckets)
+            i = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
+            own = np.flatnonzero(wanted[i] == name)
             row, doc, label, place, first, count, local = (x[own] for x in (row, doc, label, place, first, count, local))
             head = np.empty(len(own), _HEAD)
-            head["doc"], head["row"], head["start"], head["count"], head["lead"] = doc, row, first - at[local], count, place - first
+            head["doc"], head["row"], head["start"] = doc, row, first - at[local]
+            shape = np.empty(len(own), _SHAPE)
+            shape["count"], shape["lead"] = count, place - first
+            shapes.append(shape)
             size = count + length - 1
             ends = np.cumsum(size)
             flat = part[np.repeat(first - (ends - size), size) + np.arange(ends[-1])] if len(own) else np.zeros(0, np.uint8)
@@ -184,8 +214,8 @@ def _excerpts(buckets: int, length: int, gram: int):
             heads.append(head)
             parts.append(flat)
             names.append(label)
-        head, flat, key, label = (np.concatenate(x) for x in (heads, parts, keys, names))
-        size = head["count"].astype(np.int64) + length - 1
+        head, shape, flat, key, label = (np.concatenate(x) for x in (heads, shapes, parts, keys, names))
+        size = shape["count"].astype(np.int64) + length - 1
         at = np.r_[0, np.cumsum(size)]
         # Equal excerpts (same hash of bytes and lead): the least document goes on, larger ones are settled here.
         order = np.lexsort((head["row"], head["doc"], key, label))
@@ -195,20 +225,28 @@ def _excerpts(buckets: int, length: int, gram: int):
         done, goes = order[d > least], order[d == least]
         spans = np.empty(len(done), _SPAN)
         spans["row"], spans["start"], spans["end"] = head["row"][done], head["start"][done], head["start"][done] + size[done]
-        rows = [{"bucket": g % buckets, "g": g, "kind": _SETTLED, "head": merge_spans(spans).tobytes(), "bytes": b""}] if len(done) else []
-        b = _bucket(label[goes], buckets)
+        rows = [{"bucket": g % buckets, "g": g, "kind": _SETTLED, "n": len(done := merge_spans(spans)), "head": _squeeze(done.tobytes())}] if len(done) else []
+        # Each distinct excerpt goes once; places of its least document refer to it.
+        distinct = order[first]
+        head["ex"][order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(k)]))
+        b = _bucket(label[distinct], buckets)
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-        for i, j in zip(cut, [*cut[1:], len(b)], strict=True):
-            own = goes[i:j]
-            length_own = size[own]
-            ends = np.cumsum(length_own)
-            body = flat[np.repeat(at[own] - (ends - length_own), length_own) + np.arange(ends[-1])]
-            rows.append({"bucket": int(b[i]), "g": g, "kind": _EXCERPT, "head": head[own].tobytes(), "bytes": body.tobytes()})
+        held = np.searchsorted(head["ex"][goes], np.r_[cut, len(b)])
+        for x, (i, j) in enumerate(zip(cut, [*cut[1:], len(b)], strict=True)):
+            own, places = distinct[i:j], head[goes[held[x] : held[x + 1]]]
+            places["ex"] -= i
+            rows.append({"bucket": int(b[i]), "g": g, "kind": _EXCERPT, "n": len(places), "m": len(own), "head": _squeeze(places.tobytes()), "shape": _squeeze(shape[own].tobytes()), "bytes": _squeeze(_pieces(flat, at[own], size[own]).tobytes())})
         return pa.Table.from_pylist(rows, schema=_EXCERPTS)
 
     return run
 
 
+def _pieces(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bytes of the given stretches, joined."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def merge_spans(spans: np.ndarray) -> np.ndarray:
     """Union of spans of each row, as maximal runs."""
     if not len(spans):
@@ -223,80 +261,95 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_repeats(head: np.ndarray, flat: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Which window of which excerpt repeats one of a smaller document: bool matrix [excerpt, window of its run]."""
+def _least_documents(doc: np.ndarray, shape: np.ndarray, flat: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each distinct excerpt and window of its run: the least document with that window (matrix)."""
     w = length - gram + 1
-    size = head["count"].astype(np.int64) + length - 1
+    size = shape["count"].astype(np.int64) + length - 1
     at = np.r_[0, np.cumsum(size)]
     # Excerpts are aligned so that the minimizer is in column w - 1 and a window that starts lead bytes before it in w - 1 - lead.
     width = length + w - 1
-    block = np.zeros((len(head), -(-width // PERIOD) * PERIOD + 2 * PERIOD), np.uint8)
-    begin = w - 1 - head["lead"].astype(np.int64)
+    block = np.zeros((len(doc), -(-width // PERIOD) * PERIOD + 2 * PERIOD), np.uint8)
+    begin = w - 1 - shape["lead"].astype(np.int64)
     inside = np.arange(at[-1]) - np.repeat(at[:-1], size)
-    block[np.repeat(np.arange(len(head)), size), np.repeat(begin, size) + inside] = flat
+    block[np.repeat(np.arange(len(doc)), size), np.repeat(begin, size) + inside] = flat
     suffixes = Block(block)
-    bad = np.zeros((len(head), w), bool)
+    least = np.repeat(doc[:, None], w, axis=1)
     for column in range(w):
-        rows = np.flatnonzero((begin <= column) & (column < begin + head["count"]))
+        rows = np.flatnonzero((begin <= column) & (column < begin + shape["count"]))
         if len(rows) < 2:
             continue
         rows = suffixes.sort_bucket(column, rows)
-        same = suffixes.equal_to_last(column, rows, length)
-        first = np.flatnonzero(~same)
-        doc = head["doc"][rows]
-        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.r_[first, len(rows)]))
-        worse = rows[doc > least]
-        bad[worse, column - begin[worse]] = True
-    return bad
+        first = np.flatnonzero(~suffixes.equal_to_last(column, rows, length))
+        least[rows, column - begin[rows]] = np.repeat(np.minimum.reduceat(doc[rows], first), np.diff(np.r_[first, len(rows)]))
+    return least
 
 
 def _repeats(length: int, gram: int, block_rows: int):
     def run(t: pa.Table) -> pa.Table:
-        kind = t["kind"].to_numpy()
-        group = t["g"].to_numpy()
-        heads = [np.frombuffer(x.as_py(), _SPAN if k == _SETTLED else _HEAD) for x, k in zip(t["head"], kind, strict=True)]
-        out = [(int(g), h) for g, h, k in zip(group, heads, kind, strict=True) if k == _SETTLED]
-        sent = np.flatnonzero(kind == _EXCERPT)
-        if len(sent):
-            head = np.concatenate([heads[i] for i in sent])
-            of = np.concatenate([np.full(len(heads[i]), group[i], np.int64) for i in sent])
-            flat = np.concatenate([np.frombuffer(t["bytes"][int(i)].as_py(), np.uint8) for i in sent])
-            size = head["count"].astype(np.int64) + length - 1
+        sent = [r for r in t.to_pylist() if r["kind"] == _EXCERPT]
+        out = [(r["g"], _expand(r["head"], r["n"] * _SPAN.itemsize, _SPAN)) for r in t.to_pylist() if r["kind"] == _SETTLED]
+        if sent:
+            heads = [_expand(r["head"], r["n"] * _HEAD.itemsize, _HEAD).copy() for r in sent]
+            shape = np.concatenate([_expand(r["shape"], r["m"] * _SHAPE.itemsize, _SHAPE) for r in sent])
+            size = shape["count"].astype(np.int64) + length - 1
             at = np.r_[0, np.cumsum(size)]
+            cuts = np.cumsum([0, *(r["m"] for r in sent)])
+            flat = np.concatenate([_expand(r["bytes"], int(at[j] - at[i]), np.uint8) for r, i, j in zip(sent, cuts, cuts[1:], strict=False)])
+            for h, i in zip(heads, cuts, strict=False):
+                h["ex"] += i
+            head = np.concatenate(heads)
+            of = np.repeat([r["g"] for r in sent], [r["n"] for r in sent])
+            # Equal excerpts of different groups fold into one, with the least document.
+            key = tk.row_hash(flat, at, salt=6) ^ tk.mix(shape["lead"].astype(np.uint64))
+            _, own, fold = np.unique(key, return_index=True, return_inverse=True)
+            doc = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(doc, fold[head["ex"]], head["doc"])
+            shape, start, size = shape[own], at[own], size[own]
             # Labels again, from the minimizers: blocks of whole labels, one sorted at a time.
-            mini = at[:-1] + head["lead"]
-            gram_bytes = flat[(mini[:, None] + np.arange(gram)).ravel()]
+            gram_bytes = _pieces(flat, start + shape["lead"], np.full(len(own), gram))
             label = tk.row_hash(gram_bytes, np.arange(0, len(gram_bytes) + 1, gram))
             order = np.argsort(label, kind="stable")
-            starts = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])
-            lo = 0
-            spans = []
+            s = label[order]
+            stops = np.r_[np.flatnonzero(s[1:] != s[:-1]) + 1, len(order)]
+            # Places by excerpt, excerpts in block order.
+            rank = np.empty(len(own), np.int64)
+            rank[order] = np.arange(len(own))
+            at_block = rank[fold[head["ex"]]]
+            by = np.argsort(at_block, kind="stable")
+            at_block = at_block[by]
+            lo, spans = 0, []
             while lo < len(order):
                 # Whole labels, about block_rows excerpts, one label at least.
-                stops = np.r_[starts[1:], len(order)]
                 k = max(int(np.searchsorted(stops, lo + block_rows, "right")) - 1, int(np.searchsorted(stops, lo, "right")))
                 hi = int(stops[k])
-                own = order[lo:hi]
+                some = order[lo:hi]
+                least = _least_documents(doc[some], shape[some], _pieces(flat, start[some], size[some]), length, gram)
+                i, j = np.searchsorted(at_block, [lo, hi])
+                for c in range(i, j, 1 << 16):
+                    places = by[c : min(j, c + (1 << 16))]
+                    e = at_block[c : c + len(places)] - lo
+                    inside = np.arange(least.shape[1]) < shape["count"][some[e]][:, None]
+                    r, window = np.nonzero((least[e] < head["doc"][places][:, None]) & inside)
+                    x = np.empty(len(r), _SPAN)
+                    x["row"], x["start"] = head["row"][places[r]], head["start"][places[r]] + window
+                    x["end"] = x["start"] + length
+                    group = of[places[r]]
+                    back = np.argsort(group, kind="stable")
+                    for g, own_spans in _by_group(group[back], x[back]):
+                        spans.append((g, merge_spans(own_spans)))
                 lo = hi
-                length_own = size[own]
-                ends = np.cumsum(length_own)
-                body = flat[np.repeat(at[own] - (ends - length_own), length_own) + np.arange(ends[-1])]
-                bad = _sorted_repeats(head[own], body, length, gram)
-                i, k = np.nonzero(bad)
-                s = np.empty(len(i), [("g", "<i8"), ("span", _SPAN)])
-                s["g"] = of[own[i]]
-                s["span"]["row"], s["span"]["start"] = head["row"][own[i]], head["start"][own[i]] + k
-                s["span"]["end"] = s["span"]["start"] + length
-                spans.append(s)
-            s = np.concatenate(spans)
-            s = s[np.argsort(s["g"], kind="stable")]
-            cut = np.flatnonzero(np.r_[True, s["g"][1:] != s["g"][:-1]]) if len(s) else np.zeros(0, np.int64)
-            out += [(int(s["g"][i]), merge_spans(s["span"][i:j])) for i, j in zip(cut, [*cut[1:], len(s)], strict=True)]
+            out += spans
         return pa.table({"g": pa.array([g for g, _ in out], pa.int32()), "spans": pa.array([x.tobytes() for _, x in out], pa.binary())})
 
     return run
 
 
+def _by_group(group: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    for i, j in zip(cut, [*cut[1:], len(group)], strict=True):
+        yield int(group[i]), values[i:j]
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
@@ -330,10 +383,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     groups = max(8, -(-text_bytes(docs) // group_bytes))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64(F.coalesce("doc_id", F.octet_length("text").cast("long"))), F.lit(groups)).cast("int"))
-    shared = dealt.groupBy("g").applyInArrow(_labels(groups, length, gram), _LABELS).groupBy("bucket").applyInArrow(_shared, "g int, labels binary")
-    cut = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_excerpts(groups, length, gram), "bucket int, g int, kind int, head binary, bytes binary")
-    spans = cut.groupBy("bucket").applyInArrow(_repeats(length, gram, block_rows), "g int, spans binary")
-    out = dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_cut_out(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    shared = dealt.groupBy("g").applyInArrow(tidied(_labels(groups, length, gram)), _LABELS).groupBy("bucket").applyInArrow(tidied(_shared), "g int, bucket int, labels binary")
+    cut = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(tidied_pair(_excerpts(groups, length, gram)), "bucket int, g int, kind int, n int, m int, head binary, shape binary, bytes binary")
+    spans = cut.groupBy("bucket").applyInArrow(tidied(_repeats(length, gram, block_rows)), "g int, spans binary")
+    out = dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(tidied_pair(_cut_out(with_bytes)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_bytes else out.drop("kept")
 
 
