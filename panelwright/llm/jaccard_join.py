@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components
-from .support import settle, table, text_bytes
+from .support import settle, table, text_bytes, tidied, tidied_batches
 
 WORDS = 5
 PERCENT = 80
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 TASK_TOKENS = 4_000_000
+BROADCAST_ROWS = 1_000_000
 FREQUENT = 7  # class floor(log2(documents)) from which tokens are indexed in combinations
 _NAME = tk.U64((1 << 48) - 1)
 _KEYS = "key int, kind int, docs binary, counts binary, names binary, classes binary"
@@ -119,12 +120,12 @@ def _send(buckets: int, words: int):
             ids = b.column(0).to_numpy()
             if not len(ids):
                 continue
-            parts = list(shingle_sets(ids, *tk.buffers(b.column(1)), words))
-            size = np.concatenate([p[2] for p in parts])
-            token, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            rows = [_row(-1 - int(tk.mix(ids[:1].astype(np.uint64))[0] % tk.U64(buckets)), _SIZES, ids, size)]
-            rows += [_row(k, _TOKENS, *_by_doc(d), _pack6(t & _NAME)) for k, t, d in _cut(_bucket(token, buckets), token, doc)]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            sizes = []
+            for token, doc, size in shingle_sets(ids, *tk.buffers(b.column(1)), words):
+                sizes.append(size)
+                if len(token):
+                    yield pa.RecordBatch.from_pylist([_row(k, _TOKENS, *_by_doc(d), _pack6(t & _NAME)) for k, t, d in _cut(_bucket(token, buckets), token, doc)], schema=_ARROW)
+            yield pa.RecordBatch.from_pylist([_row(-1 - int(tk.mix(ids[:1].astype(np.uint64))[0] % tk.U64(buckets)), _SIZES, ids, np.concatenate(sizes))], schema=_ARROW)
 
     return run
 
@@ -212,6 +213,88 @@ def _assemble(percent: int, frequent: int):
     return run
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own = a != b
+    a, b = a[own], b[own]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
+def _least_of(entry: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct entries, least document of each, and pairs that link each holder to it)."""
+    order = np.lexsort((doc, entry))
+    e, d = entry[order], doc[order]
+    first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]]) if len(e) else np.zeros(0, np.int64)
+    least = np.repeat(d[first], np.diff(np.r_[first, len(e)]))
+    return e[first], d[first], *_distinct_pairs(d, least)
+
+
+_STARS = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("docs", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+_FLUSH = 2_000_000
+
+
+def _local_stars(buckets: int):
+    """Entries of a partition: each once, with its least document; other holders are linked to that here."""
+
+    def flush(parts: list) -> pa.RecordBatch:
+        entry, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        entry, doc, a, b = _least_of(entry, doc)
+        rows = [{"bucket": k, "entries": e.tobytes(), "docs": d.tobytes()} for k, e, d in _cut(_bucket(entry.view(np.uint64), buckets), entry, doc)]
+        if len(a):
+            rows.append({"bucket": int(a[0] % buckets), "a": a.tobytes(), "b": b.tobytes()})
+        return pa.RecordBatch.from_pylist(rows, schema=_STARS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for b in batches:
+            lists = b.column("entries")
+            parts.append((lists.flatten().to_numpy(), np.repeat(b.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()))))
+            held += len(parts[-1][0])
+            if held >= _FLUSH:
+                yield flush(parts)
+                parts, held = [], 0
+        if parts:
+            yield flush(parts)
+
+    return run
+
+
+def _stars(t: pa.Table) -> pa.Table:
+    """In a bucket of entries: links of the least documents of partitions to the least of all."""
+    blobs = {c: [np.frombuffer(x, np.int64) for x in t[c].to_pylist() if x] for c in ("entries", "docs", "a", "b")}
+    one = lambda c: np.concatenate([np.zeros(0, np.int64), *blobs[c]])
+    *_, a, b = _least_of(one("entries"), one("docs"))
+    a, b = _distinct_pairs(np.r_[a, one("a")], np.r_[b, one("b")])
+    return pa.table({"a": a, "b": b})
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of a partition's pairs, each node pointing at its tree's least node."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[root]
+        if (new == root).all():
+            break
+        root = new
+    own = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_pydict({"a": nodes[own], "b": nodes[root[own]]})
+
+
 class _Forest:
     def __init__(self, n: int):
         self.root = np.arange(n)
@@ -281,32 +364,37 @@ def _solve(percent: int):
 def jaccard_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n, tokens, entries) of documents with distinct ids; tokens and entries null where no partner is possible."""
     buckets = max(8, -(-text_bytes(docs) // bucket_bytes))
-    sent = docs.select("doc_id", "text").mapInArrow(_send(buckets, words), _KEYS)
-    counted = sent.groupBy("key").applyInArrow(_count(buckets), _KEYS)
-    return settle(counted.groupBy("key").applyInArrow(_assemble(percent, frequent), "doc_id long, n long, tokens binary, entries array<long>"), "sets")
+    sent = docs.select("doc_id", "text").mapInArrow(tidied_batches(_send(buckets, words)), _KEYS)
+    counted = sent.groupBy("key").applyInArrow(tidied(_count(buckets)), _KEYS)
+    return settle(counted.groupBy("key").applyInArrow(tidied(_assemble(percent, frequent)), "doc_id long, n long, tokens binary, entries array<long>"), "sets")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, task_tokens: int = TASK_TOKENS, **options) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least id reachable by links, itself included)."""
     unique, repeats = one_row_per_id(docs)
     sets = jaccard_sets(unique, words, percent, **options)
-    spark = docs.sparkSession
-    entries = sets.filter("entries is not null").select("doc_id", F.explode("entries").alias("entry"))
-    held = entries.groupBy("entry").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("entry", "least")
-    candidates = entries.join(held, "entry").filter("doc_id <> least").select("doc_id", "least").distinct()
-    closures = settle(connected_components(candidates, "doc_id", "least"), "closures").withColumnsRenamed({"node": "doc_id", "component": "closure"})
-    tasks = sets.filter("entries is not null").select("doc_id", "n", "tokens").join(closures, "doc_id")
-    sizes = settle(tasks.groupBy("closure").agg(F.sum(F.expr("octet_length(tokens) div 8")).alias("load")), "closure-sizes")
+    buckets = max(8, -(-text_bytes(unique) // options.get("bucket_bytes", BUCKET_BYTES)))
+    stars = sets.filter("entries is not null").select("doc_id", "entries").mapInArrow(tidied_batches(_local_stars(buckets)), "bucket int, entries binary, docs binary, a binary, b binary")
+    # Pairs are thinned to a forest where they were made, before any of them is shuffled again.
+    candidates = settle(stars.groupBy("bucket").applyInArrow(tidied(_stars), "a long, b long").repartition(buckets, "a").mapInArrow(tidied_batches(_forest), "a long, b long"), "candidates")
+    closures = settle(connected_components(candidates, "a", "b"), "closures").withColumnsRenamed({"node": "doc_id", "component": "closure"})
+    # Closures are looked up by broadcast while they are few; beyond BROADCAST_ROWS the join shuffles.
+    named = F.broadcast(closures) if closures.count() <= BROADCAST_ROWS else closures
+    members = sets.filter("entries is not null")
+    tasks = members.select("doc_id", "n", "tokens").join(named, "doc_id")
+    sizes = settle(members.select("doc_id", F.expr("octet_length(tokens) div 8").alias("load")).join(named, "doc_id").groupBy("closure").agg(F.sum("load").alias("load")), "closure-sizes")
     total = sizes.agg(F.coalesce(F.sum("load"), F.lit(0)).alias("t"), F.coalesce(F.max("load"), F.lit(0)).alias("m")).first()
     bins = max(1, -(-4 * int(total["t"]) // task_tokens))
-    small = tasks.join(sizes.filter(F.col("load") <= task_tokens).select("closure"), "closure").withColumn("task", F.pmod(F.xxhash64("closure"), F.lit(bins)).cast("string"))
+    # Closures above the bound are few: each has more than task_tokens tokens.
+    large_ones = F.broadcast(sizes.filter(F.col("load") > task_tokens).withColumn("blocks", F.ceil(F.col("load") * 2 / task_tokens).cast("int")))
+    small = tasks.join(large_ones, "closure", "left_anti").withColumn("task", F.pmod(F.xxhash64("closure"), F.lit(bins)).cast("string"))
     solve = "a long, b long"
-    links = small.groupBy("task").applyInArrow(_solve(percent), solve)
+    links = small.groupBy("task").applyInArrow(tidied(_solve(percent)), solve)
     if total["m"] > task_tokens:
-        large = tasks.join(sizes.filter(F.col("load") > task_tokens).withColumn("blocks", F.ceil(F.col("load") * 2 / task_tokens).cast("int")), "closure")
+        large = tasks.join(large_ones, "closure")
         block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
         pairs = large.withColumn("own", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("task", F.concat_ws("-", F.col("closure"), F.least("own", "other"), F.greatest("own", "other")))
-        links = links.unionByName(pairs.select("doc_id", "n", "tokens", "closure", "task").groupBy("task").applyInArrow(_solve(percent), solve))
+        links = links.unionByName(pairs.select("doc_id", "n", "tokens", "closure", "task").groupBy("task").applyInArrow(tidied(_solve(percent)), solve))
         found = connected_components(settle(links.filter("a <> b").distinct(), "links"), "a", "b").withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     else:
         found = links.withColumnsRenamed({"a": "doc_id", "b": "component_id"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
@@ -67,3 +69,49 @@ def partition_sums(parts: DataFrame, dtype: str, fan: int = 32) -> dict[str, np.
     """Sum of the arrays ``blob`` of each ``key``: streamed in two levels, so memory is one array a key."""
     rows = parts.repartition(fan).mapInArrow(_summing(dtype), "key string, blob binary").repartition(1).mapInArrow(_summing(dtype), "key string, blob binary").collect()
     return {r["key"]: np.frombuffer(r["blob"], dtype) for r in rows}
+
+
+def tidy() -> None:
+    """Hand freed memory back to the system: idle workers are kept, and what they hold counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(kernel):
+    """A kernel of one group that tidies after it."""
+
+    def run(group):
+        try:
+            return kernel(group)
+        finally:
+            tidy()
+
+    return run
+
+
+def tidied_pair(kernel):
+    """A kernel of two groups with one key that tidies after them."""
+
+    def run(left, right):
+        try:
+            return kernel(left, right)
+        finally:
+            tidy()
+
+    return run
+
+
+def tidied_batches(kernel):
+    """A batch kernel that tidies when its partition ends."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            tidy()
+
+    return run
