@@ -89,7 +89,7 @@ def _cut(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
     k = key[order]
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
     arrays = [a[order] for a in arrays]
-    for i, j in zip(at, [*at[1:], len(k)], strict=True):
+    for i, j in zip(at, [*at[1:], len(k)][: len(at)], strict=True):
         yield int(k[i]), *(a[i:j] for a in arrays)
 
 
@@ -353,7 +353,7 @@ def _solve(percent: int):
         token, at = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
         label = np.empty(len(ids), np.int64)
         cuts = np.flatnonzero(np.r_[True, closure[1:] != closure[:-1]])
-        for i, j in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+        for i, j in zip(cuts, [*cuts[1:], len(ids)][: len(cuts)], strict=True):
             root = link_sets(size[i:j], at[i : j + 1] - at[i], token[at[i] : at[j]], percent)
             label[i:j] = ids[i:j][root]
         return pa.table({"a": pa.array(ids), "b": pa.array(label)})

@@ -153,7 +153,7 @@ def _labels(buckets: int, length: int, gram: int):
         b = label >> tk.U64(40)
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
         g = t["g"][0].as_py()
-        rows = [{"bucket": int(b[i]), "g": g, "labels": _pack(label[i:j]), "many": np.packbits(many[i:j]).tobytes()} for i, j in zip(cut, [*cut[1:], len(b)], strict=True)]
+        rows = [{"bucket": int(b[i]), "g": g, "labels": _pack(label[i:j]), "many": np.packbits(many[i:j]).tobytes()} for i, j in zip(cut, [*cut[1:], len(b)][: len(cut)], strict=True)]
         return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("labels", pa.binary()), ("many", pa.binary())]))
 
     return run
@@ -232,7 +232,7 @@ def _excerpts(buckets: int, length: int, gram: int):
         b = _bucket(label[distinct], buckets)
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
         held = np.searchsorted(head["ex"][goes], np.r_[cut, len(b)])
-        for x, (i, j) in enumerate(zip(cut, [*cut[1:], len(b)], strict=True)):
+        for x, (i, j) in enumerate(zip(cut, [*cut[1:], len(b)][: len(cut)], strict=True)):
             own, places = distinct[i:j], head[goes[held[x] : held[x + 1]]]
             places["ex"] -= i
             rows.append({"bucket": int(b[i]), "g": g, "kind": _EXCERPT, "n": len(places), "m": len(own), "head": _squeeze(places.tobytes()), "shape": _squeeze(shape[own].tobytes()), "bytes": _squeeze(_pieces(flat, at[own], size[own]).tobytes())})
@@ -346,7 +346,7 @@ def _repeats(length: int, gram: int, block_rows: int):
 
 def _by_group(group: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-    for i, j in zip(cut, [*cut[1:], len(group)], strict=True):
+    for i, j in zip(cut, [*cut[1:], len(group)][: len(cut)], strict=True):
         yield int(group[i]), values[i:j]
 
 
