@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import partition_sums, table, text_bytes
+from .support import partition_sums, table, text_bytes, tidied_batches
 
 SEED_WORDS = 3
 MIN_WORDS = 5
@@ -227,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
             continue
         sums = partition_sums(texts.select("text").mapInArrow(_gram_counts(spark.sparkContext.broadcast(items)), "key string, blob binary"), "<i8")
         items.choose_seeds(sums["n"] if sums else np.zeros(len(items.grams), np.int64))
-        out = out.unionByName(texts.mapInArrow(_find(spark.sparkContext.broadcast(items)), _FOUND))
+        out = out.unionByName(texts.mapInArrow(tidied_batches(_find(spark.sparkContext.broadcast(items))), _FOUND))
     return out
 
 
@@ -253,7 +253,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         sums = partition_sums(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gram_counts(spark.sparkContext.broadcast(items)), "key string, blob binary"), "<i8")
         items.choose_seeds(sums["n"] if sums else np.zeros(len(items.grams), np.int64))
-        out = out.mapInArrow(_clean(spark.sparkContext.broadcast(items)), out.schema)
+        out = out.mapInArrow(tidied_batches(_clean(spark.sparkContext.broadcast(items))), out.schema)
     return out
 
 

@@ -45,6 +45,7 @@ from .support import settle, table, text_bytes, tidied, tidied_batches
 WORDS = 5
 PERCENT = 80
 BUCKET_BYTES = 8 << 20
+SEND_BYTES = 3 << 20
 TASK_TOKENS = 4_000_000
 BROADCAST_ROWS = 1_000_000
 FREQUENT = 7  # class floor(log2(documents)) from which tokens are indexed in combinations
@@ -105,7 +106,7 @@ def _row(key: int, kind: int, docs: np.ndarray, counts: np.ndarray, names: bytes
 
 def shingle_sets(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(distinct shingle hashes, document id of each, set size of each row) chunk by chunk; rows' hashes ascend."""
-    for i, j, part, at in tk.chunks(data, offsets):
+    for i, j, part, at in tk.chunks(data, offsets, SEND_BYTES):
         sh, row = tk.Words(part, at).shingles(words)
         order = np.lexsort((sh, row))
         sh, row = sh[order], row[order]

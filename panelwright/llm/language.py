@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .support import held_out, partition_sums, table
+from .support import held_out, partition_sums, table, tidied_batches
 
 SLOTS = 1 << 15
 LONGEST = 60.0  # trigrams that count as evidence at most
@@ -126,9 +126,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": pa.array(list(sums), pa.string()), "blob": pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())})
 
 
+def _identified(shared):
+    """Batches without the rows that are in no language or as good as tied between two."""
+    predict = _predicted(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = next(predict(iter([b.select(["text"])])))
+            und = pa.array([x == "und" for x in found.column("lang_pred").to_pylist()], pa.bool_()).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(~und & ~found.column("ambiguous").to_numpy(zero_copy_only=False)))
+
+    return run
+
+
 def learn(texts: DataFrame) -> Model | None:
     """``texts``: lang, text, neither null."""
-    counts = partition_sums(texts.select("lang", "text").mapInArrow(_counted, "key string, blob binary"), "<i8")
+    counts = partition_sums(texts.select("lang", "text").mapInArrow(tidied_batches(_counted), "key string, blob binary"), "<i8")
     counts = {k: v for k, v in counts.items() if v.sum()}
     if not counts:
         return None
@@ -164,7 +177,7 @@ def _predicted(shared):
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with lang_pred, score, ambiguous; these names must be free in ``docs``."""
     out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return docs.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), out)
+    return docs.mapInArrow(tidied_batches(_predicted(docs.sparkSession.sparkContext.broadcast(model))), out)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -177,8 +190,7 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without texts in no language: those ``und``, and those whose best two languages are as good as tied."""
     model = learn(docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    return identify(packed, model).filter("lang_pred <> 'und' and not ambiguous").select("row.*")
+    return docs.mapInArrow(tidied_batches(_identified(docs.sparkSession.sparkContext.broadcast(model))), docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import partition_sums, table
+from .support import partition_sums, table, tidied_batches
 
 THRESHOLD = 0.8
 
@@ -185,10 +185,10 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     plain = Scanner(None, phrases, templates, threshold)
     frequency = {}
     if len(plain.vocabulary):
-        sums = partition_sums(texts.select("text").mapInArrow(_frequencies(plain), "key string, blob binary"), "<i8")
+        sums = partition_sums(texts.select("text").mapInArrow(tidied_batches(_frequencies(plain)), "key string, blob binary"), "<i8")
         frequency = dict(zip(plain.vocabulary.tolist(), sums["n"].tolist(), strict=True)) if sums else {}
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(frequency, phrases, templates, threshold))
-    return texts.mapInArrow(_scan(scanner), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks string")
+    return texts.mapInArrow(tidied_batches(_scan(scanner)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks string")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import batch, settle, table
+from .support import settle, table, tidied_batches
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -235,7 +235,7 @@ def mark_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     per_round = max(1, broadcast_bytes // (26 * shard_keys))
     for first in range(0, shards, per_round):
         rows = [r.asDict() for r in index.filter(F.col("shard").between(first, first + per_round - 1)).select("shard", "n", "shift", "print", "keeper").collect()]
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(rows), shards, min_chars), out.schema)
+        out = out.mapInArrow(tidied_batches(_mark(spark.sparkContext.broadcast(rows), shards, min_chars)), out.schema)
     return out
 
 

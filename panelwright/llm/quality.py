@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import held_out, partition_sums, settle, table
+from .support import held_out, partition_sums, settle, table, tidied_batches
 
 MAX_LABELLED = 80_000
 FEATURES = 384
@@ -218,7 +218,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     """Per row of ``docs``: doc_id, held_out, score, predicted.  Rows held out are not learned from."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    stats = settle(own.mapInArrow(_stats, "doc_id long, held_out boolean, stats binary"), "quality-stats")
+    stats = settle(own.mapInArrow(tidied_batches(_stats), "doc_id long, held_out boolean, stats binary"), "quality-stats")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
     known = marks.filter(~held_out())
     n = known.count()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 # The six ASCII separators space, tab, line feed, vertical tab, form feed, return.
 _SEPARATORS = np.zeros(256, dtype=bool)
