@@ -163,9 +163,10 @@ def _predicted(shared):
         for b in batches:
             column = b.column("text")
             data, offsets = tk.buffers(column)
-            letters = has_letter(column, data, offsets)
+            letters = np.zeros(b.num_rows, bool)
             best, score, unsure = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.ones(b.num_rows, bool)
             for i, j, part, at in tk.chunks(data, offsets) if model else ():
+                letters[i:j] = has_letter(column.slice(i, j - i), part, at)
                 best[i:j], score[i:j], unsure[i:j] = model.predict(part, at)
             known = letters & (model is not None)
             names = np.array([*(model.languages if model else []), "und"], object)
