@@ -42,7 +42,8 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: SQL cannot express the learned and the alignment stages; tests hold the pipeline against a brute-force version.
+#: SQL cannot express the learned and the alignment stages; the operators' tests hold each against brute force where
+#: one exists, and the pipeline's test checks what each stage must keep and drop.
 ORACLE_SQL = None
 
 
