@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import settle, table, tidied_batches
+from .support import settle, table, tidied, tidied_batches
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -101,7 +101,7 @@ def _keys(min_chars: int):
 
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(h1, h2, n_docs, keeper) of every key held by at least ``min_docs`` documents."""
-    keys = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(_keys(min_chars), "doc_id long, h1 long, h2 long")
+    keys = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(tidied_batches(_keys(min_chars)), "doc_id long, h1 long, h2 long")
     # Rows of one document id may be spread; a distinct count would shuffle every (key, document), so ids that repeat
     # are folded first and only those.
     repeated = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -174,7 +174,7 @@ def build_index(counts: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) ->
     """One row per shard; shards are dealt by the first hash, so each holds about ``shard_keys`` keys at any size."""
     shards = max(1, -(-n_keys // shard_keys))
     dealt = counts.withColumn("shard", F.pmod(F.shiftright("h1", 7), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(_shard, _SHARD), shards
+    return dealt.groupBy("shard").applyInArrow(tidied(_shard), _SHARD), shards
 
 
 def probe(index: dict[int, tuple], shards: int, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -222,23 +222,38 @@ def _mark(shared, shards: int, min_chars: int):
     return run
 
 
-def mark_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with ``drops``: numbers of the lines to drop, packed as int32."""
+def mark_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, finish=None, schema=None) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with ``drops``: numbers of the lines to drop, packed as int32.
+
+    ``finish``, a kernel from batches with ``drops`` to ``schema``, runs in the last round's workers.
+    """
     spark = docs.sparkSession
     counts = settle(line_counts(docs, min_chars, min_docs), "line-counts")
     n_keys = counts.count()
     out = docs.withColumn("drops", F.lit(b""))
     if not n_keys:
-        return out
+        return out.mapInArrow(tidied_batches(finish), schema) if finish else out
     made, shards = build_index(counts, n_keys, shard_keys)
     index = settle(made, "line-index")
     per_round = max(1, broadcast_bytes // (26 * shard_keys))
     for first in range(0, shards, per_round):
         rows = [r.asDict() for r in index.filter(F.col("shard").between(first, first + per_round - 1)).select("shard", "n", "shift", "print", "keeper").collect()]
-        out = out.mapInArrow(tidied_batches(_mark(spark.sparkContext.broadcast(rows), shards, min_chars)), out.schema)
+        mark = _mark(spark.sparkContext.broadcast(rows), shards, min_chars)
+        if finish and first + per_round >= shards:
+            return out.mapInArrow(tidied_batches(_then(mark, finish)), schema)
+        out = out.mapInArrow(tidied_batches(mark), out.schema)
     return out
 
 
+def _then(first, second):
+    """Two batch kernels in one worker: chained mapInArrow steps hold a worker each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return second(first(batches))
+
+    return run
+
+
 def _apply(text: bytes, drops: bytes) -> tuple[int, int, bytes]:
     parts = text.split(b"\n")
     gone = set(np.frombuffer(drops, np.int32).tolist())
@@ -260,14 +275,13 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_lines before dropping, n_dropped, kept_sha256 of the rest."""
-    marked = mark_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
-    return marked.mapInArrow(_report, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return mark_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), finish=_report, schema="doc_id long, n_lines long, n_dropped long, kept_sha256 string", **options)
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; all columns stay, and ``n_chars``, if there, follows."""
     named = docs.withColumnRenamed("drops", "__drops_in") if "drops" in docs.columns else docs
-    out = mark_lines(named, **options).mapInArrow(_rewrite, named.schema)
+    out = mark_lines(named, finish=_rewrite, schema=named.schema, **options)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.withColumnRenamed("__drops_in", "drops") if "drops" in docs.columns else out
