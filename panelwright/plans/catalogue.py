@@ -140,4 +140,43 @@ BAYES = {
     "lewis_scores": "SELECT @r(greatest(0e0, least(1e0, sum((p2 - p0) * pc)))) AS nesuf FROM (SELECT d.disc, d.p AS pc, max(CASE WHEN c.qty = 2 THEN c.p END) AS p2, max(CASE WHEN c.qty = 0 THEN c.p END) AS p0 FROM cpd c JOIN (SELECT disc, sum(p) AS p FROM marg GROUP BY disc) d ON d.disc = c.disc WHERE c.flag = 'R' GROUP BY 1, 2) x",
 }
 
-CATALOGUE = Catalogue(VIEWS, PANEL | UNIVERSE | SELECTION | PORTFOLIO | GRAPH | BAYES)
+#: Uniform numbers from a congruential hash of (id, node), the same in both engines.
+_U = "(((CAST(id AS BIGINT) * 1103515245 + {0}) % 2147483648 * 69069 + 12345) % 2147483648 + 0.5e0) / 2147483648e0"
+_DRAW = """WITH qd AS (SELECT x AS qty, cum - p AS lo, cum AS hi FROM (SELECT qty AS x, sum(p) AS p, sum(sum(p)) OVER (ORDER BY qty) AS cum FROM marg GROUP BY qty) a),
+dd AS (SELECT x AS disc, cum - p AS lo, cum AS hi FROM (SELECT disc AS x, sum(p) AS p, sum(sum(p)) OVER (ORDER BY disc) AS cum FROM marg GROUP BY disc) a),
+fd AS (SELECT qty, disc, flag, cum - p AS lo, cum AS hi FROM (SELECT qty, disc, flag, p, sum(p) OVER (PARTITION BY qty, disc ORDER BY flag) AS cum FROM cpd) a),
+ids AS (SELECT @seq(1; 2000) AS id),
+us AS (SELECT id, """ + ", ".join(f"{_U.format(k * 7919)} AS u{k}" for k in (1, 2, 3)) + """ FROM ids),
+drawn AS (SELECT us.id, qd.qty, dd.disc, fd.flag FROM us JOIN qd ON u1 > qd.lo AND u1 <= qd.hi JOIN dd ON u2 > dd.lo AND u2 <= dd.hi JOIN fd ON fd.qty = qd.qty AND fd.disc = dd.disc AND u3 > fd.lo AND u3 <= fd.hi)
+"""
+_WALK = "-- recursive\nWITH walk AS (SELECT w, src, dst, concat(src, '>', dst) AS path, weight AS effect, 1 AS depth FROM edges WHERE src < dst UNION ALL SELECT p.w, p.src, e.dst, concat(p.path, '>', e.dst), p.effect * e.weight, p.depth + 1 FROM walk p JOIN edges e ON p.w = e.w AND p.dst = e.src WHERE e.src < e.dst AND p.depth < 12)\n"
+
+MORE = {
+    "symbol_clean": "SELECT DISTINCT split_part(split_part(s_name, ' ', 1), '#', 1) AS symbol, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "inner_on_date": "SELECT x.d, x.name AS asset, y.name AS driver, @r(x.price) AS price, @r(y.price) AS level FROM px x JOIN raw y ON x.d = y.d",
+    "full_outer_concat": "SELECT coalesce(a.d, b.d) AS d, @r(a.price) AS first_price, @r(b.price) AS second_price FROM (SELECT d, price FROM daily WHERE name = 'A0') a FULL OUTER JOIN (SELECT d, price FROM daily WHERE name = 'A1') b ON a.d = b.d",
+    "month_end_last": "SELECT CAST(date_trunc('month', d) AS DATE) AS m, name, @r(max_by(price, d)) AS price FROM daily GROUP BY 1, 2",
+    "weekday_rows": "SELECT d, name, @r(price) AS price FROM daily WHERE @weekday(d) < 5",
+    "asof_within_5_rows": "SELECT d, name, @r(@known(price) OVER (PARTITION BY name ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS price FROM (SELECT t.d, n.name, x.price FROM days t CROSS JOIN names n LEFT JOIN daily x ON x.d = t.d AND x.name = n.name) g",
+    "semi_members": "SELECT x.d, x.name, @r(x.price) AS price FROM px x WHERE EXISTS (SELECT 1 FROM member m WHERE m.name = x.name AND m.q = CAST(date_trunc('quarter', x.d) AS DATE))",
+    "anti_members": "SELECT DISTINCT x.q, x.name FROM quarterly x WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.name = x.name AND m.q = x.q)",
+    "missing_names": "SELECT t.d, @list(n.name) AS missing FROM days t CROSS JOIN names n LEFT JOIN daily x ON x.d = t.d AND x.name = n.name WHERE x.name IS NULL GROUP BY t.d",
+    "trailing_window": "SELECT reb, name, @r(avg(v)) AS mean, @r(stddev_samp(v)) AS sd, @n(count(*)) AS n FROM (SELECT @seq(@idiv(r + 20; 21); @idiv(r + 51; 21)) AS reb, name, v FROM panel) x JOIN size s ON reb * 21 < s.n GROUP BY reb, name",
+    "share_class_sum": "SELECT concat('A', CAST(l_suppkey % 8 AS STRING)) AS name, @r(sum(l_quantity)) AS shares FROM (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS k FROM lineitem) x WHERE k = 1 GROUP BY 1",
+    "type_expansion": "SELECT o_orderstatus, sum(CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 1 ELSE 0 END) AS p1, sum(CASE WHEN substr(o_orderpriority, 1, 1) = '2' THEN 1 ELSE 0 END) AS p2, sum(CASE WHEN substr(o_orderpriority, 1, 1) NOT IN ('1', '2') THEN 1 ELSE 0 END) AS rest FROM orders GROUP BY 1",
+    "path_probability": _WALK + "SELECT path, @r(count(*) / max(t.n)) AS prob, @r(@pct(effect; 0.5)) AS effect FROM walk CROSS JOIN (SELECT CAST(count(DISTINCT w) AS DOUBLE) AS n FROM rolled) t GROUP BY path",
+    "path_total_effect": _WALK + "SELECT w, src, dst, @r(sum(effect)) AS effect, @n(count(*)) AS paths FROM walk GROUP BY w, src, dst",
+    "common_edge_across": "SELECT src, dst, @r(CASE WHEN count(*) < 3 THEN 0e0 ELSE exp(sum(ln(p))) END) AS prob FROM (SELECT e.w % 3 AS g, e.src, e.dst, CAST(count(*) AS DOUBLE) / max(t.n) AS p FROM edges e JOIN (SELECT w % 3 AS g, count(DISTINCT w) AS n FROM rolled GROUP BY 1) t ON t.g = e.w % 3 GROUP BY 1, 2, 3) x GROUP BY src, dst",
+    "exogenous_and_sinks": "SELECT node, min(has_parent) = 0 AS exogenous, min(has_child) = 0 AS sink FROM (SELECT node, max(p) AS has_parent, max(c) AS has_child FROM (SELECT src AS node, 0 AS p, 1 AS c FROM dag UNION ALL SELECT dst, 1, 0 FROM dag) x GROUP BY node) y GROUP BY node",
+    "remove_effect": "SELECT y.r, y.name, @r(y.v - s.slope * x.v) AS residual FROM panel x JOIN panel y ON x.r = y.r AND x.name = 'D1' AND y.name <> 'D1' JOIN (SELECT b.name, covar_pop(a.v, b.v) / var_pop(a.v) AS slope FROM panel a JOIN panel b ON a.r = b.r AND a.name = 'D1' GROUP BY b.name) s ON s.name = y.name",
+    "intervention_effect": "-- recursive\nWITH walk AS (SELECT src, dst, weight AS effect, 1 AS depth FROM dag UNION ALL SELECT p.src, e.dst, p.effect * e.weight, p.depth + 1 FROM walk p JOIN dag e ON p.dst = e.src WHERE p.depth < 12)\nSELECT t.src, t.dst, @r(m.mean + s.sd * t.effect) AS raised, @r(m.mean - s.sd * t.effect) AS lowered FROM (SELECT src, dst, sum(effect) AS effect FROM walk GROUP BY src, dst) t JOIN (SELECT name, stddev_pop(v) AS sd FROM rolled WHERE w = 0 GROUP BY name) s ON s.name = t.src JOIN (SELECT name, avg(v) AS mean FROM rolled WHERE w = 0 GROUP BY name) m ON m.name = t.dst",
+    "moment_tau": "SELECT a.w, a.name AS pa, b.name AS ch, @r(1e6 * abs(avg(a.v * a.v * a.v * b.v) * avg(a.v * a.v) - avg(a.v * a.v * a.v * a.v) * avg(a.v * b.v))) AS tau FROM rolled a JOIN rolled b ON a.w = b.w AND a.r = b.r AND a.name <> b.name GROUP BY 1, 2, 3",
+    "bn_sample": _DRAW + "SELECT id, qty, disc, flag FROM drawn",
+    "bn_sample_frequencies": _DRAW + "SELECT qty, disc, flag, @r(count(*) / 2000e0) AS freq FROM drawn GROUP BY 1, 2, 3",
+    "bn_predict_incomplete": "SELECT qty, flag, @r(p) AS p FROM (SELECT qty, flag, p, row_number() OVER (PARTITION BY qty ORDER BY round(p, 9) DESC, flag) AS k FROM (SELECT c.qty, c.flag, sum(c.p * d.p) AS p FROM cpd c JOIN (SELECT disc, sum(p) AS p FROM marg GROUP BY disc) d ON d.disc = c.disc GROUP BY 1, 2) x) y WHERE k = 1",
+    "bn_classifier_accuracy": "SELECT @r(CAST(sum(CASE WHEN b.flag = p.flag THEN 1 ELSE 0 END) AS DOUBLE) / count(*)) AS accuracy FROM bn b JOIN (SELECT qty, disc, flag FROM (SELECT qty, disc, flag, row_number() OVER (PARTITION BY qty, disc ORDER BY round(p, 9) DESC, flag) AS k FROM cpd) x WHERE k = 1) p ON p.qty = b.qty AND p.disc = b.disc",
+    "lewis_necessity_sufficiency": "SELECT @r(greatest(0e0, least(1e0, sum((p0n - p2n) * pc) / nullif(sum(p2 * pc), 0e0)))) AS nec, @r(greatest(0e0, least(1e0, sum((p2 - p0) * pc) / nullif(sum(p0n * pc), 0e0)))) AS suf FROM (SELECT d.disc, d.p AS pc, max(CASE WHEN c.qty = 2 AND c.flag = 'N' THEN c.p END) AS p2, max(CASE WHEN c.qty = 0 AND c.flag = 'N' THEN c.p END) AS p0, 1 - max(CASE WHEN c.qty = 2 AND c.flag = 'N' THEN c.p END) AS p2n, 1 - max(CASE WHEN c.qty = 0 AND c.flag = 'N' THEN c.p END) AS p0n FROM cpd c JOIN (SELECT disc, sum(p) AS p FROM marg GROUP BY disc) d ON d.disc = c.disc GROUP BY d.disc, d.p) x",
+    "mc_pvalues": "SELECT name, @r((count(CASE WHEN null_score >= score THEN 1 END) + 1e0) / (count(*) + 1)) AS p FROM (SELECT a.name, a.abs_sum AS score, b.abs_sum AS null_score FROM score a JOIN score b ON b.w > 0 WHERE a.w = 0) x GROUP BY name",
+}
+
+CATALOGUE = Catalogue(VIEWS, PANEL | UNIVERSE | SELECTION | PORTFOLIO | GRAPH | BAYES | MORE)

@@ -24,6 +24,7 @@ _MACROS = {
     "r": ("(round(CAST({0} AS DOUBLE) + 1e-9, 6) + 0e0)",) * 2,
     "corr": ("(covar_pop({0}, {1}) / nullif(stddev_pop({0}) * stddev_pop({1}), 0e0))",) * 2,
     "n": ("CAST({0} AS BIGINT)",) * 2,
+    "weekday": ("weekday({0})", "(isodow({0}) - 1)"),
 }
 _CALL = re.compile(r"@(\w+)\(")
 

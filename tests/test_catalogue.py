@@ -14,7 +14,7 @@ def plain(rows):
     return sorted((tuple(clean(v) for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["log_return_panel", "asof_gap_lookup", "rolling_windows", "cumcorr_topk", "replay_undo_membership", "turnover", "time_underwater", "total_effect_paths", "bn_marginal", "cpd_bdeu"])
+@pytest.mark.parametrize("name", ["log_return_panel", "asof_gap_lookup", "rolling_windows", "cumcorr_topk", "replay_undo_membership", "turnover", "time_underwater", "total_effect_paths", "bn_marginal", "cpd_bdeu", "path_probability", "common_edge_across", "missing_names", "trailing_window", "intervention_effect", "bn_sample", "lewis_necessity_sufficiency"])
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
