@@ -113,23 +113,27 @@ def _entropy(u: np.ndarray) -> np.ndarray:
     return (1 + math.log(2 * math.pi)) / 2 - k1 * (np.log(np.cosh(u)).mean(0) - gamma) ** 2 - k2 * (u * np.exp(-u * u / 2)).mean(0) ** 2
 
 
+def pairwise_gain(x: np.ndarray) -> np.ndarray:
+    """G[i, j]: mutual information saved by i -> j over j -> i; columns are centred."""
+    z = x / np.maximum(x.std(0), 1e-12)
+    rho = z.T @ z / len(z)
+    single = _entropy(z)
+    gain = np.zeros(rho.shape)
+    for i in range(len(rho)):
+        scale = np.sqrt(np.maximum(1 - rho[i] ** 2, 1e-12))
+        forward = _entropy((z - np.outer(z[:, i], rho[i])) / scale)
+        backward = _entropy((z[:, [i]] - z * rho[i]) / scale)
+        gain[i] = (single + backward) - (single[i] + forward)
+    np.fill_diagonal(gain, 0)
+    return gain
+
+
 def causal_order(x: np.ndarray) -> list[int]:
     """DirectLiNGAM: repeatedly take the variable most independent of the residuals of the others on it."""
     x = x - x.mean(0)
     left, order = list(range(x.shape[1])), []
     while len(left) > 1:
-        z = x[:, left] / np.maximum(x[:, left].std(0), 1e-12)
-        rho = z.T @ z / len(z)
-        single = _entropy(z)
-        score = np.zeros(len(left))
-        for i in range(len(left)):
-            scale = np.sqrt(np.maximum(1 - rho[i] ** 2, 1e-12))
-            forward = _entropy((z - np.outer(z[:, i], rho[i])) / scale)
-            backward = _entropy((z[:, [i]] - z * rho[i]) / scale)
-            # Mutual information saved by i -> j over j -> i.
-            gain = (single + backward) - (single[i] + forward)
-            gain[i] = 0
-            score[i] = -(np.minimum(0, gain) ** 2).sum()
+        score = -(np.minimum(0, pairwise_gain(x[:, left])) ** 2).sum(1)
         m = left[int(np.argmax(score))]
         order.append(m)
         left.remove(m)
