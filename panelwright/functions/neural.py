@@ -8,6 +8,8 @@ import numpy as np
 
 from .kernels import break_cycles
 
+#: Rows a sensitivity fit needs once its inputs are lagged.
+MIN_ROWS = 50
 _GELU = math.sqrt(2 / math.pi)
 
 
@@ -40,8 +42,8 @@ def sensitivities(drivers: np.ndarray, assets: np.ndarray, eligible: np.ndarray
     last fifth has not improved for ``patience`` epochs.  Needs 50 rows.
     """
     n = len(drivers) - lags
-    if n < 50:
-        raise ValueError("sensitivities need at least 50 rows after lagging")
+    if n < MIN_ROWS:
+        raise ValueError(f"sensitivities need at least {MIN_ROWS} rows after lagging")
     x = np.hstack([drivers[lags - k : len(drivers) - k] for k in range(1, lags + 1)])
     y = assets[lags:]
     mask = np.ones_like(y) if eligible is None else eligible[lags:].astype(float)

@@ -29,9 +29,11 @@ def zscore(v: np.ndarray) -> np.ndarray:
 
 
 def fit(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
-    """A window's driver scores (correlation, causal) and sensitivities, with its rows for the fold."""
+    """A window's driver scores (correlation, causal) and sensitivities, with its rows for the fold; none if it has too few."""
     a = is_asset(names)
     d = len(names)
+    if len(x) < neural.MIN_ROWS + 1 or a.all() or a.sum() < 2:
+        return pd.DataFrame(columns=["w", "drivers", "assets", "x", "plain", "causal", "s"])
     z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
     both = np.hstack([z[1:], z[:-1]])
     block = np.outer(a, ~a)

@@ -69,7 +69,10 @@ def _groups_as_edges(x: np.ndarray) -> np.ndarray:
 
 
 def _sensitivities(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
+    """None for a window with too few complete rows."""
     a = is_asset(names)
+    if len(x) < neural.MIN_ROWS + 1:
+        return pd.DataFrame(columns=["w", "driver", "asset", "s"])
     z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
     s = neural.sensitivities(z[:, ~a], z[:, a])
     d, t = np.array(names)[~a], np.array(names)[a]

@@ -40,3 +40,8 @@ def test_largest_subgraph(spark):
     rows = [(0, 0, "a", "b", 1.0), (0, 0, "c", "d", 1.0), (0, 0, "d", "e", 1.0), (1, 0, "p", "q", 1.0), (1, 0, "x", "y", 1.0)]
     out = discovery.largest_subgraphs(spark.createDataFrame(rows, "w long, lag int, src string, dst string, weight double"))
     assert {(r.w, r.src, r.dst) for r in out.collect()} == {(0, "c", "d"), (0, "d", "e"), (1, "p", "q")}
+
+
+def test_thin_windows_are_left_out():
+    assert len(closed_loop.fit(0, NAMES, windows()[0][1][:50])) == 0
+    assert len(discovery._sensitivities(0, NAMES, windows()[0][1][:50])) == 0

@@ -48,3 +48,18 @@ def test_unit_root_statistics():
     e = np.random.default_rng(1).normal(size=800)
     assert k.adf_statistic(e) < -10 < k.adf_statistic(np.cumsum(e))
     assert k.kpss_statistic(np.cumsum(e)) > 0.463 > k.kpss_statistic(e)
+
+
+def test_lasso_path_meets_the_optimality_conditions():
+    rng = np.random.default_rng(4)
+    for d in (1, 3, 8):
+        x = rng.normal(size=(60, d)) @ rng.normal(size=(d, d))
+        y = rng.normal(size=60) + x[:, 0]
+        g, c = x.T @ x / 60, x.T @ y / 60
+        path = k.lasso_path(g, c)
+        assert path[-1][0] < 1e-9 and np.allclose(path[-1][1], np.linalg.solve(g, c))
+        for lam, b in path:
+            slack = c - g @ b
+            assert (np.abs(slack) <= lam + 1e-9).all()
+            assert np.allclose(slack[b != 0], lam * np.sign(b[b != 0]), atol=1e-9)
+
