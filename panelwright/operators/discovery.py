@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import discovery, kernels, neural
-from .windows import EDGES, panel, per_window
+from .windows import EDGES, ROWS_PER_SERIES, panel, per_window
 
 #: Replicates of a bootstrap or a permutation null.
 REPLICATES = 20
@@ -120,6 +120,8 @@ def bootstrap(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) ->
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="r", columns="name", values="v").sort_index().dropna()
+        if len(wide) < ROWS_PER_SERIES * wide.shape[1]:
+            return pd.DataFrame(columns=["w", "lag", "src", "dst", "weight"])
         w, rep = int(pdf["w"].iloc[0]), int(pdf["rep"].iloc[0])
         b0, b1 = discovery.bootstrap_var_lingam(wide.to_numpy(), w * 100_003 + rep)
         return tall(w, list(wide.columns), (0, b0), (1, b1))

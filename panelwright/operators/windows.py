@@ -13,6 +13,9 @@ from ..functions import kernels
 from ..plans.catalogue import CATALOGUE
 from ..plans.fixtures import STEP, W
 
+#: Complete rows a window needs for each of its series; a thinner window gives no result rows.
+ROWS_PER_SERIES = 2
+
 EDGES = "w long, lag int, src string, dst string, weight double"
 
 
@@ -33,10 +36,14 @@ def per_window(rolled: DataFrame, kernel: Callable[[int, list[str], np.ndarray],
     """``kernel(window, names, matrix)`` for each window; the matrix has the rows all series share, in order.
 
     A group is one window, whose size is fixed by its width, not by the table.
+    Windows thinner than ROWS_PER_SERIES are left out.
     """
+    columns = [field.split()[0] for field in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="r", columns="name", values="v").sort_index().dropna()
+        if len(wide) < ROWS_PER_SERIES * wide.shape[1]:
+            return pd.DataFrame(columns=columns)
         return kernel(int(pdf["w"].iloc[0]), list(wide.columns), wide.to_numpy())
 
     return rolled.select("w", "r", "name", "v").groupBy("w").applyInPandas(run, schema)

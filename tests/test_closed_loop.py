@@ -45,3 +45,12 @@ def test_largest_subgraph(spark):
 def test_thin_windows_are_left_out():
     assert len(closed_loop.fit(0, NAMES, windows()[0][1][:50])) == 0
     assert len(discovery._sensitivities(0, NAMES, windows()[0][1][:50])) == 0
+
+
+def test_a_window_needs_two_complete_rows_a_series(spark):
+    from panelwright.operators.windows import per_window
+
+    rows = [(w, r, n, float(r)) for w, size in ((0, 3), (1, 4)) for r in range(size) for n in ("A0", "D0")]
+    df = spark.createDataFrame(rows, "w long, r long, name string, v double")
+    out = per_window(df, lambda w, names, x: pd.DataFrame({"w": [w], "n": [len(x)]}), "w long, n long")
+    assert [tuple(r) for r in out.collect()] == [(1, 4)]
