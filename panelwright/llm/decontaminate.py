@@ -1,14 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. One pass counts the benchmark's word n-grams in the corpus (partition sums over
-   the benchmark's n-grams, whose number does not depend on the corpus).
-2. An item's seeds are its rarer half: the n-grams counted no more often than
-   their median in the item.  Being relative, this leaves no item without seeds,
-   however often its passage was copied.
-3. Each seed met in a document proposes a window around where the item would
-   stand; windows of neighbouring diagonals merge.  A local alignment of words
-   (match 1, mismatch and gap -1/2) scores each window.  A pair is reported when
-   its score is at least THRESHOLD of the item's words and LEAST words.
+"""Benchmark decontamination: word-pair seeds, a word-count bound, then Smith-Waterman alignment.
+
+1. All of an item's pairs of neighbouring words are its seeds: a copy that scores
+   half the item's words keeps a pair, unless a word is put into every place
+   between two words that it keeps (and then it scores (n + 1) / 2 at most).
+2. Each seed met in a document proposes a window around where the item would
+   stand, wide enough for any alignment through the seed that can be reported;
+   windows of neighbouring diagonals merge.
+3. A window has no higher score than it has words in common with the item, each
+   counted as often as both have it; windows that this keeps below the threshold
+   are left out.
+4. A local alignment of words (match 1, mismatch and gap -1/2) scores the others.
+   A pair is reported when its score is at least THRESHOLD of the item's words
+   and LEAST words.
 
 Items travel to the executors in blocks of bounded size; no text is shuffled.
 
@@ -28,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import partition_sums, table, text_bytes, tidied_batches
+from .support import table, text_bytes, tidied_batches
 
-SEED_WORDS = 3
+SEED_WORDS = 2
 MIN_WORDS = 5
 THRESHOLD = 0.5
 LEAST = 8
@@ -38,6 +41,7 @@ GAP = 0.5
 MISMATCH = 0.5
 BLOCK_BYTES = 4 << 20
 _PAD = tk.U64(0)
+_CELLS = 1 << 18
 
 
 class Items:
@@ -54,26 +58,21 @@ class Items:
         for k, words in enumerate(self.words):
             g = ngrams(words)
             grams.append(g), item.append(np.full(len(g), k)), place.append(np.arange(len(g)))
-        grams, self.item, self.place = np.concatenate(grams), np.concatenate(item), np.concatenate(place)
-        self.grams, self.of = np.unique(grams, return_inverse=True)
-        self._lay(np.ones(len(self.of), bool))
-
-    def _lay(self, seeds: np.ndarray) -> None:
-        """Postings (item, place) of each n-gram, seeds only."""
-        at = np.flatnonzero(seeds)
-        order = at[np.argsort(self.of[at], kind="stable")]
-        self.post_item, self.post_place = self.item[order], self.place[order]
-        self.post = np.searchsorted(self.of[order], np.arange(len(self.grams) + 1))
+        grams, item, place = np.concatenate(grams), np.concatenate(item), np.concatenate(place)
+        self.grams, of = np.unique(grams, return_inverse=True)
+        # Postings (item, place) of each n-gram.
+        order = np.argsort(of, kind="stable")
+        self.post_item, self.post_place = item[order], place[order]
+        self.post = np.searchsorted(of[order], np.arange(len(self.grams) + 1))
         self.table = np.zeros(1 << 18, bool)
-        self.table[(self.grams[np.diff(self.post) > 0] >> tk.U64(46)).astype(np.int64)] = True
+        self.table[(self.grams >> tk.U64(46)).astype(np.int64)] = True
+        self.vocabulary, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_inverse=True)
+        self.word_ids = np.split(of, np.cumsum([len(x) for x in self.words])[:-1]) if self.words else []
 
-    def choose_seeds(self, counts: np.ndarray) -> None:
-        seeds = np.zeros(len(self.of), bool)
-        for k in range(len(self.words)):
-            own = np.flatnonzero(self.item == k)
-            c = counts[self.of[own]]
-            seeds[own] = c <= np.median(c)
-        self._lay(seeds)
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Vocabulary index of each word; of words that no item has, the vocabulary's size."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary))
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, n-gram indices) of those that the index has."""
@@ -130,7 +129,8 @@ def _windows(items: Items, w: tk.Words, grams: np.ndarray, row: np.ndarray) -> t
     order = np.lexsort((start, item, r))
     r, item, start = r[order], item[order], start[order]
     size = np.array([len(x) for x in items.words], np.int64)[item]
-    slack = size // 2 + 4
+    # A reported alignment holds no more inserted or left-out words than the item has words.
+    slack = size
     new = np.r_[True, (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])] if len(r) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     stop = np.r_[at[1:], len(r)] - 1
@@ -140,6 +140,31 @@ def _windows(items: Items, w: tk.Words, grams: np.ndarray, row: np.ndarray) -> t
     return r, item, first, last
 
 
+def _common(local: np.ndarray, held: np.ndarray, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Words that each window and the item have in common; ``local`` numbers the item's words from 1, ``held`` counts them."""
+    n = len(held) + 1
+    out = np.zeros(len(first), np.int64)
+    ends = np.cumsum(last - first)
+    i = 0
+    while i < len(first):
+        # As many windows at a time as bound the memory.
+        before = ends[i - 1] if i else 0
+        j = min(max(i + 1, int(np.searchsorted(ends, before + _CELLS, "right"))), i + max(1, _CELLS // n))
+        length = (last - first)[i:j]
+        at = np.repeat(first[i:j] - (ends[i:j] - length - before), length) + np.arange(ends[j - 1] - before)
+        met = local[ids[at]]
+        hit = np.flatnonzero(met)
+        seen = np.bincount(np.repeat(np.arange(j - i), length)[hit] * n + met[hit], minlength=(j - i) * n).reshape(j - i, n)
+        out[i:j] = np.minimum(seen[:, 1:], held).sum(1)
+        i = j
+    return out
+
+
+def least_score(words: int) -> float:
+    """The least reported score of an item of so many words."""
+    return max(THRESHOLD * words, min(words, LEAST))
+
+
 def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item index, score, first word, end word) of the best alignment of each reported pair."""
     w = tk.Words(data, offsets, alnum=True)
@@ -153,17 +178,23 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> Iterator[tup
     grams = np.where(keep, grams, tk.U64(0))
     r, item, first, last = _windows(items, w, grams, row)
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for k in np.unique(item):
-        mine = np.flatnonzero(item == k)
-        words = items.words[k]
-        mine = mine[np.argsort((last - first)[mine], kind="stable")]
+    ids = items.known(w.hashes)
+    local = np.zeros(len(items.vocabulary) + 1, np.int64)
+    order = np.lexsort((last - first, item))
+    of, begins = np.unique(item[order], return_index=True)
+    for k, lo, hi in zip(of.tolist(), begins, np.r_[begins, len(order)][1:], strict=True):
+        mine, words = order[lo:hi], items.words[k]
+        need = least_score(len(words))
+        own, held = np.unique(items.word_ids[k], return_counts=True)
+        local[own] = np.arange(1, len(own) + 1)
+        mine = mine[_common(local, held, ids, first[mine], last[mine]) >= need]
+        local[own] = 0
         for i in range(0, len(mine), 64):
             some = mine[i : i + 64]
             length = last[some] - first[some]
             grid = first[some][:, None] + np.arange(length.max())
             block = np.where(grid < last[some][:, None], w.hashes[np.minimum(grid, len(w.hashes) - 1)], _PAD)
             score, end = align(words, block)
-            need = max(THRESHOLD * len(words), min(len(words), LEAST))
             for j in np.flatnonzero(score >= need):
                 key = (int(r[some[j]]), int(k))
                 if key not in found or score[j] > found[key][0]:
@@ -176,22 +207,6 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> Iterator[tup
         yield a, k, score / len(items.words[k]), i, j
 
 
-def _gram_counts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        counts = np.zeros(len(items.grams), np.int64)
-        for b in batches:
-            data, offsets = tk.buffers(b.column(0))
-            for _, _, part, at in tk.chunks(data, offsets):
-                w = tk.Words(part, at, alnum=True)
-                row = np.repeat(np.arange(len(at) - 1), w.counts)
-                g = ngrams(w.hashes)
-                counts += np.bincount(items.find(g[row[: len(g)] == row[SEED_WORDS - 1 :]] if len(g) else g)[1], minlength=len(counts))
-        yield pa.RecordBatch.from_pydict({"key": pa.array(["n"]), "blob": pa.array([counts.tobytes()], pa.binary())})
-
-    return run
-
-
 _FOUND = "doc_id long, item_id long, score double, first_word long, end_word long"
 
 
@@ -225,8 +240,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     for items in item_blocks(benchmark):
         if not items.words:
             continue
-        sums = partition_sums(texts.select("text").mapInArrow(_gram_counts(spark.sparkContext.broadcast(items)), "key string, blob binary"), "<i8")
-        items.choose_seeds(sums["n"] if sums else np.zeros(len(items.grams), np.int64))
         out = out.unionByName(texts.mapInArrow(tidied_batches(_find(spark.sparkContext.broadcast(items))), _FOUND))
     return out
 
@@ -251,8 +264,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in item_blocks(benchmark):
         if not items.words:
             continue
-        sums = partition_sums(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gram_counts(spark.sparkContext.broadcast(items)), "key string, blob binary"), "<i8")
-        items.choose_seeds(sums["n"] if sums else np.zeros(len(items.grams), np.int64))
         out = out.mapInArrow(tidied_batches(_clean(spark.sparkContext.broadcast(items))), out.schema)
     return out
 

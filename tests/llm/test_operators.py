@@ -270,6 +270,36 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(make(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edited_and_partial_copies(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(300)]
+    noise = lambda n: [rng.choice(words) for _ in range(n)]
+    items, rows, planted = [], [], set()
+    for k in range(48):
+        item = noise(20 + k)
+        changed = set(rng.sample(range(len(item)), int(len(item) * (0.2, 0.25, 0.3)[k % 3])))
+        copy = [
+            [f"new{i}" if i in changed else w for i, w in enumerate(item)],
+            [f"new{i}" if i % 3 == 2 else w for i, w in enumerate(item)],
+            [x for i, w in enumerate(item) for x in ([w, f"new{i}"] if i % 2 else [w])],
+            item[: int(0.6 * len(item))],
+        ][k // 3 % 4]
+        items.append((k, " ".join(item)))
+        rows.append((k, " ".join(noise(40) + copy + noise(20))))
+        planted.add((k, k))
+    want = set()
+    for k, item in items:
+        (x,) = decontaminate.Items([k], [item]).words
+        for i, text in rows:
+            score = decontaminate.align(x, decontaminate.Items([i], [text]).words[0][None, :])[0][0]
+            if score >= max(0.5 * len(x), 8):
+                want.add((i, k))
+    assert len(want & planted) >= 40
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(make(spark, rows), bench).collect()}
+    assert got == want
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(400, 16))
