@@ -1,7 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line; its tokens are its distinct words.  A block meets a template
-of m distinct words when it has at least ceil(THRESHOLD * m) =: a of them.
+A block is a line, or a window of words that runs across line feeds, as long as
+the template over THRESHOLD; its tokens are its distinct words.  A block meets a
+template of m distinct words when it has at least ceil(THRESHOLD * m) =: a of them.
 
 1. One pass counts the corpus frequency of the templates' words (partition sums
    over the fixed vocabulary), which orders them globally, rare first.
@@ -11,16 +12,24 @@ of m distinct words when it has at least ceil(THRESHOLD * m) =: a of them.
    first match stands so late in the template's order that fewer than a words
    remain (or, on the block's side, so few words that a cannot be reached).
 3. What is left is verified by counting its distinct common words.
+4. A window begins at a template's word.  It is dropped unless it holds a of the
+   template's words, repeated or not, one of them from the prefix.  Of windows
+   that overlap, the one with the most distinct words counts, and of those the
+   first no longer than the template (or the shortest); it takes the place of
+   lines that it overlaps and that hold fewer.  It borrows no words: a window that
+   overlaps a line which meets a template of another label, and holds more of
+   that, is left out.
 
 Templates and phrases are fixed and small, so they travel to the executors and no
 text is shuffled.
 
 Defined results: null texts are empty; rows are scanned one by one, repeated or
-not; lines longer than any template are whole blocks too; ties cannot arise.
+not; lines longer than any template are whole blocks too.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +85,9 @@ class Scanner:
             order = at[np.lexsort((words, often[at]))]
             need = int(np.ceil(threshold * len(order) - 1e-9))
             self.templates.append((order, need, label))
+        # Words of each template, and of the longest block across lines for it.
+        self.lengths = [len(_hashes(t)) for t in (TEMPLATES if templates is None else templates)]
+        self.widths = [int(np.ceil(n / threshold - 1e-9)) for n in self.lengths]
         # position[t, v]: place of a vocabulary word in a template's order, or past its end.
         self.position = np.full((len(sets), len(self.vocabulary)), 1 << 20, np.int64)
         for t, (order, _, _) in enumerate(self.templates):
@@ -124,31 +136,102 @@ class Scanner:
         return {"n_words": w.counts, "n_base": base, "first_word": np.where(seen, first, 0), "last_word": np.where(seen, last, 0), "seen": seen, "base_labels": text(own), "labels": text(labels), "score": scores, "blocks": [",".join(spans.get(r, ())) for r in range(n)]}
 
     def _blocks(self, w: tk.Words, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
-        """(row, first word, end word, label, containment) of each line that meets a template."""
+        """(row, first word, end word, label, containment) of each line or window that meets a template."""
         place, v = self.known(w.hashes)
         if not len(place):
             return
         feeds = np.flatnonzero(data == 10)
         # A line's number: line feeds before it plus rows before it, so it never spans rows.
         line = np.searchsorted(feeds, w.starts[place]) + np.searchsorted(offsets, w.starts[place], "right")
+        every = place, v, line
         order = np.lexsort((v, line))
         place, v, line = place[order], v[order], line[order]
         new = np.r_[True, (line[1:] != line[:-1]) | (v[1:] != v[:-1])]
         place, v, line = place[new], v[new], line[new]
         start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
         bounds = np.r_[start, len(line)]
-        for t, (words, need, label) in enumerate(self.templates):
+        held = np.diff(bounds)
+        lines: list[list] = []
+        for t, (words, need, _) in enumerate(self.templates):
             m = len(words)
             pos = self.position[t][v]
             # Prefix and positional filters: the first match of the line in the template's order.
             least = np.minimum.reduceat(pos, start)
-            held = np.diff(bounds)
+            lines.append([])
             for k in np.flatnonzero((least <= m - need) & (held >= need)):
                 common = int((pos[bounds[k] : bounds[k + 1]] < m).sum())
                 if common >= need:
                     own = place[bounds[k] : bounds[k + 1]][pos[bounds[k] : bounds[k + 1]] < m]
-                    r = int(np.searchsorted(offsets, w.starts[own[0]], "right")) - 1
-                    yield r, int(own.min() - w.at[r]), int(own.max() - w.at[r]) + 1, label, common / m
+                    lines[-1].append((int(own.min()), int(own.max()) + 1, common))
+        for t, (words, _, label) in enumerate(self.templates):
+            windows = self._windows(t, w, *every)
+            for u, (other, _, another) in enumerate(self.templates if windows else ()):
+                if another != label:
+                    windows = [x for x in windows if _most(lines[u], x) * len(words) <= x[2] * len(other)]
+            for a, b, common in _merged(lines[t], windows):
+                r = int(np.searchsorted(offsets, w.starts[a], "right")) - 1
+                yield r, int(a - w.at[r]), int(b - w.at[r]), label, common / len(words)
+
+    def _windows(self, t: int, w: tk.Words, place: np.ndarray, v: np.ndarray, line: np.ndarray) -> list[tuple]:
+        """(first word, end word, distinct words) of windows across line feeds that meet template ``t``, none overlapping."""
+        words, need, _ = self.templates[t]
+        pos = self.position[t][v]
+        own = np.flatnonzero(pos < len(words))
+        place, pos, line = place[own], pos[own], line[own]
+        rare = np.r_[0, np.cumsum(pos <= len(words) - need)]
+        if not rare[-1]:
+            return []
+        row_end = w.at[np.searchsorted(w.at, place, "right")]
+        stop = np.searchsorted(place, np.minimum(place + self.widths[t], row_end))
+        at = np.arange(len(place))
+        at = at[(stop - at >= need) & (rare[stop] > rare[at]) & (line[stop - 1] > line)]
+        if not len(at):
+            return []
+        # A word is new to a window that begins after the word's occurrence before.
+        order = np.argsort(pos, kind="stable")
+        before = np.full(len(place), -1)
+        same = pos[order][1:] == pos[order][:-1]
+        before[order[1:][same]] = order[:-1][same]
+        held = stop[at] - at
+        ends = np.cumsum(held)
+        flat = np.repeat(at - (ends - held), held) + np.arange(ends[-1])
+        fresh = before[flat] < np.repeat(at, held)
+        common = np.add.reduceat(fresh.astype(np.int64), ends - held)
+        last = np.maximum.reduceat(np.where(fresh, flat, 0), ends - held)
+        met = np.flatnonzero((common >= need) & (line[last] > line[at]))
+        out, i = [], 0
+        while i < len(met):
+            # Of the windows that overlap the first one: the most words, then the first no longer than the template, or the shortest.
+            j = i + int(np.searchsorted(at[met[i:]], last[met[i]], "right"))
+            extent = place[last[met[i:j]]] + 1 - place[at[met[i:j]]]
+            fits = extent <= self.lengths[t]
+            k = i + int(np.lexsort((np.where(fits, np.arange(i, j), extent), ~fits, -common[met[i:j]]))[0])
+            out.append((int(place[at[met[k]]]), int(place[last[met[k]]]) + 1, int(common[met[k]])))
+            i = max(j, int(np.searchsorted(at[met], last[met[k]], "right")))
+        return out
+
+
+def _most(lines: list[tuple], window: tuple) -> int:
+    """The most words that a line which overlaps the window holds."""
+    i = bisect.bisect_right(lines, window[0], key=lambda x: x[1])
+    j = bisect.bisect_left(lines, window[1], key=lambda x: x[0])
+    return max((x[2] for x in lines[i:j]), default=0)
+
+
+def _merged(lines: list[tuple], windows: list[tuple]) -> list[tuple]:
+    """Lines and windows in order; where they overlap, the windows that hold more words, else the lines."""
+    out, i = [], 0
+    for window in windows:
+        while i < len(lines) and lines[i][1] <= window[0]:
+            out.append(lines[i])
+            i += 1
+        j = i
+        while j < len(lines) and lines[j][0] < window[1]:
+            j += 1
+        if max((x[2] for x in lines[i:j]), default=0) < window[2]:
+            out.append(window)
+            i = j
+    return out + lines[i:]
 
 
 def _frequencies(scanner: Scanner):

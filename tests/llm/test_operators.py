@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -252,6 +253,24 @@ def test_license_scan(spark, rows):
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
 
 
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(5)
+    noise = lambda: " ".join("".join(rng.choice("bcdfgh") for _ in range(5)) for _ in range(25))
+    rows, want = [], {}
+    for k, (notice, label) in enumerate(licenses.TEMPLATES.items()):
+        for wrap, indent in itertools.product((70, 40, 12), ("", " * ")):
+            lines = textwrap.wrap(notice, wrap, break_long_words=False)
+            i = len(rows)
+            rows.append((i, "\n".join([noise(), *(indent + x for x in lines), noise()])))
+            want[i] = (label, 25, 25 + len(re.findall("[A-Za-z0-9]+", notice)))
+    rows += [(1000, "\n".join(2 * textwrap.wrap(next(x for x, y in licenses.TEMPLATES.items() if y == "bsd"), 60))), (1001, "the of this software\n" * 30), (1002, "ist mit\nLicensed under the Apache License, Version 2.0")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(make(spark, rows)).collect()}
+    for i, (label, a, b) in want.items():
+        assert f"{label}:{a}:{b}" in got[i]["blocks"].split(",") and label in got[i]["labels"].split(",") and got[i]["score"] == 1
+    assert got[1000]["blocks"] == "bsd:0:21,bsd:21:42" and got[1001]["labels"] == "" and got[1001]["score"] == 0
+    assert got[1002]["labels"] == "apache-2"
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
