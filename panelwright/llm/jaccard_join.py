@@ -16,7 +16,8 @@ frequent, by the logarithm of the number of documents and then by hash.
    pair may have only frequent tokens in common; then the prefix is extended into
    the frequent class and combinations of k = 2 tokens adjacent in the order are
    indexed.  A missing token breaks two adjacencies and an extra one breaks one,
-   at most 2n/5 in all for t = 4/5, so one of the first 2n/5 + 1 is in common.
+   at most 2n/5 in all for t = 4/5, so one of the first 2n/5 + 1 is in common
+   (the code takes the exact maximum over the allowed numbers of both).
    Combinations are linear in n, and a hot passage's single tokens index nothing.
 3. Documents that share an index entry are candidates; their closure under
    candidacy (entries link each holder to the least one, so rows stay linear)
@@ -174,8 +175,9 @@ def prefix_entries(n: int, tokens: np.ndarray, classes: np.ndarray, percent: int
     often = tokens[cut:]
     if len(often) < 2:
         return tokens
-    # At most 2 * missing + extra adjacencies are broken; over all splits of the distance that is 2 * allowed or extra.
-    broken = max(2 * allowed, 100 * n // percent - n)
+    # At most 2 * missing + extra adjacencies are broken.  With m missing, 100 * (n - m) // percent - n are extra at most;
+    # for each more that is missing that falls by the whole numbers around 100 / percent, so one end of m is the maximum.
+    broken = max(2 * m + 100 * (n - m) // percent - n for m in (0, allowed))
     pairs = min(len(often) - 1, broken + 1)
     with np.errstate(over="ignore"):
         return np.concatenate([tokens[:cut], tk.mix(often[:pairs] * tk.U64(tk._BASE) + often[1 : pairs + 1])])

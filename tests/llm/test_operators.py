@@ -140,6 +140,20 @@ def test_prefix_entries_meet_for_every_linked_pair():
         assert len(np.intersect1d(*entries))
 
 
+@pytest.mark.parametrize("n", [4, 5, 9, 14])
+def test_prefix_entries_meet_in_every_order_of_frequent_tokens(n):
+    for missing in range(n):
+        for extra in range(n):
+            if 100 * (n - missing) < 80 * (n + extra):
+                continue
+            total = n + extra
+            for own in itertools.combinations(range(total), missing):
+                for other in itertools.combinations(sorted(set(range(total)) - set(own)), extra):
+                    pair = [np.array([k for k in range(total) if k not in gone], np.uint64) for gone in (other, own)]
+                    entries = [jaccard_join.prefix_entries(len(p), p, np.full(len(p), 9, np.uint8)) for p in pair]
+                    assert len(np.intersect1d(*entries)), (own, other)
+
+
 @pytest.mark.parametrize("rows", [EMPTY, ROWS, WITH_NULL_ID])
 def test_suffix_dedup(spark, rows):
     starts = {}
