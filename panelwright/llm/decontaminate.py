@@ -1,8 +1,8 @@
 """Benchmark decontamination: word-pair seeds, a word-count bound, then Smith-Waterman alignment.
 
-1. All of an item's pairs of neighbouring words are its seeds: a copy that scores
-   half the item's words keeps a pair, unless a word is put into every place
-   between two words that it keeps (and then it scores (n + 1) / 2 at most).
+1. All of an item's pairs of neighbouring words are its seeds.  A copy without one
+   has a change at every place between two words that it keeps, and with m of
+   them scores (m + 1) / 2 at most.
 2. Each seed met in a document proposes a window around where the item would
    stand, wide enough for any alignment through the seed that can be reported;
    windows of neighbouring diagonals merge.
@@ -10,8 +10,8 @@
    counted as often as both have it; windows that this keeps below the threshold
    are left out.
 4. A local alignment of words (match 1, mismatch and gap -1/2) scores the others.
-   A pair is reported when its score is at least THRESHOLD of the item's words
-   and LEAST words.
+   A pair is reported when its score is at least THRESHOLD of the item's words,
+   or ENOUGH words of an item of any length, and LEAST words.
 
 Items travel to the executors in blocks of bounded size; no text is shuffled.
 
@@ -37,6 +37,7 @@ SEED_WORDS = 2
 MIN_WORDS = 5
 THRESHOLD = 0.5
 LEAST = 8
+ENOUGH = 25
 GAP = 0.5
 MISMATCH = 0.5
 BLOCK_BYTES = 4 << 20
@@ -129,8 +130,9 @@ def _windows(items: Items, w: tk.Words, grams: np.ndarray, row: np.ndarray) -> t
     order = np.lexsort((start, item, r))
     r, item, start = r[order], item[order], start[order]
     size = np.array([len(x) for x in items.words], np.int64)[item]
-    # A reported alignment holds no more inserted or left-out words than the item has words.
-    slack = size
+    # A reported alignment leaves out no more words than the item has, and inserts 2 * (size - least score) at most.
+    least = np.array([least_score(len(x)) for x in items.words])[item]
+    slack = np.maximum(size, np.floor(2 * (size - least)).astype(np.int64))
     new = np.r_[True, (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])] if len(r) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     stop = np.r_[at[1:], len(r)] - 1
@@ -162,7 +164,7 @@ def _common(local: np.ndarray, held: np.ndarray, ids: np.ndarray, first: np.ndar
 
 def least_score(words: int) -> float:
     """The least reported score of an item of so many words."""
-    return max(THRESHOLD * words, min(words, LEAST))
+    return max(min(THRESHOLD * words, ENOUGH), min(words, LEAST))
 
 
 def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:

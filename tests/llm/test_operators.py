@@ -333,6 +333,19 @@ def test_decontamination_finds_edited_and_partial_copies(spark):
     assert got == want
 
 
+def test_decontamination_reports_long_parts_of_long_items(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(2000)]
+    item = [rng.choice(words) for _ in range(500)]
+    noise = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = [(0, " ".join(noise(90) + item[100:300] + noise(60))), (1, " ".join(noise(90) + item[100:115] + noise(60))), (2, " ".join(noise(40) + item[470:]))]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(make(spark, rows), bench).collect()}
+    assert set(got) == {0, 2}
+    assert got[0]["score"] == pytest.approx(0.4) and (got[0]["first_word"], got[0]["end_word"]) == (90, 290)
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(make(spark, rows), bench).collect()] == [1]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(400, 16))
