@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import discovery, kernels, neural
@@ -115,7 +115,7 @@ def _split_error(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
 
 
 def bootstrap(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) -> DataFrame:
-    """(lag, src, dst, prob, median) over windows and residual-bootstrap replicates, one small task each."""
+    """(lag, src, dst, prob, median) over the fitted windows and residual-bootstrap replicates, one small task each."""
     rolled = panel(spark, sf_dir).select("w", "r", "name", "v").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,12 +124,14 @@ def bootstrap(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) ->
             return pd.DataFrame(columns=["w", "lag", "src", "dst", "weight"])
         w, rep = int(pdf["w"].iloc[0]), int(pdf["rep"].iloc[0])
         b0, b1 = discovery.bootstrap_var_lingam(wide.to_numpy(), w * 100_003 + rep)
-        return tall(w, list(wide.columns), (0, b0), (1, b1))
+        # A row without names counts the group as fitted, whatever its edges.
+        return pd.concat([pd.DataFrame([(w, -1, None, None, 1.0)], columns=["w", "lag", "src", "dst", "weight"]), tall(w, list(wide.columns), (0, b0), (1, b1))])
 
     found = rolled.groupBy("w", "rep").applyInPandas(run, EDGES)
-    total = rolled.select(F.countDistinct("w", "rep").alias("total"))
     hits = found.filter(F.abs("weight") > 0.01).groupBy("lag", "src", "dst").agg(F.count(F.lit(1)).alias("n"), F.percentile("weight", 0.5).alias("median"))
-    return hits.crossJoin(F.broadcast(total)).select("lag", "src", "dst", (F.col("n") / F.col("total")).alias("prob"), "median")
+    # The hits are at most one row a lag and pair of series, whatever the number of windows.
+    total = F.max(F.when(F.col("lag") == -1, F.col("n"))).over(Window.partitionBy(F.lit(0)))
+    return hits.withColumn("total", total).filter("lag >= 0").select("lag", "src", "dst", (F.col("n") / F.col("total")).alias("prob"), "median")
 
 
 def permutation_null(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from panelwright.functions import dependence as dep
 from panelwright.functions import discovery as k
+from panelwright.operators import discovery as operators
 
 from test_kernels import chain
 
@@ -110,3 +111,11 @@ def test_autoregressions():
     assert m[0, 1] == 0
     b0, b1 = k.bootstrap_var_lingam(x, 3)
     assert np.isfinite(b0).all() and np.isfinite(b1).all()
+
+
+def test_thin_windows_do_not_dilute_bootstrap_probabilities(spark, monkeypatch):
+    x = chain(300)
+    rows = [(w, r, f"F{c}", float(x[r, c])) for w, n in ((0, 300), (1, 4)) for r in range(n) for c in range(3)]
+    monkeypatch.setattr(operators, "panel", lambda *_: spark.createDataFrame(rows, "w long, r long, name string, v double"))
+    got = {(r["lag"], r["src"], r["dst"]): r["prob"] for r in operators.bootstrap(spark, "", 3).collect()}
+    assert got[0, "F2", "F1"] == 1 and got[0, "F1", "F0"] == 1 and min(lag for lag, *_ in got) == 0
