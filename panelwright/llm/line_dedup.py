@@ -8,13 +8,18 @@
    minimal perfect hash (bucketed displacements) over the shard's key hashes
    and lays out three arrays in its order: a 64-bit fingerprint (the second
    hash), the document count and the keeper's id.
-3. Documents probe the arrays.  While all shards together are within
-   ``BROADCAST_BYTES`` they travel to the executors at once; beyond that they
-   go in rounds of that size, so memory is bounded whatever the input.
+   A key whose first hash another key has already goes to a short list beside
+   the arrays, which is probed by both hashes.
+3. Documents probe the arrays.  An index within ``BROADCAST_BYTES`` travels to
+   the executors.  Beyond that probes go to the shards instead, packed by task, a
+   shard taking its probes in as many salted groups as keep each near
+   ``PROBE_ROWS``, so that no line, however common, fills a task; what they drop
+   meets the documents in groups of about ``GROUP_BYTES``.
 
 Defined results: a null or empty text is one empty line; rows with a null id
 keep all lines and count for nobody; rows with the same id are one document;
-of a key's lines in its keeper all stay; ties do not arise, ids being ordered.
+of a key's lines in its keeper all stay; ties do not arise, ids being ordered;
+other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
-from .support import settle, table, tidied, tidied_batches
+from .support import free_name, settle, table, text_bytes, tidied, tidied_batches, tidied_pair
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 SHARD_KEYS = 1 << 18
 BROADCAST_BYTES = 48 << 20
+PROBE_ROWS = 1 << 20
+GROUP_BYTES = 16 << 20
 _LOAD = 4  # keys in a displacement bucket, on average
 _PAD = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -152,7 +160,8 @@ def _slots(h: np.ndarray, shift: np.ndarray, n: int) -> np.ndarray:
         return (tk.mix(h ^ ((shift.astype(np.uint64) + tk.U64(1)) * tk.U64(tk._BASE))) % tk.U64(n)).astype(np.int64)
 
 
-_SHARD = "shard int, n int, shift binary, print binary, docs binary, keeper binary"
+_SHARD = "shard int, n int, shift binary, print binary, docs binary, keeper binary, extra binary"
+_EXTRA = np.dtype([("h1", "<u8"), ("h2", "<i8"), ("keeper", "<i8")])
 
 
 def _shard(pdf: pa.Table) -> pa.Table:
@@ -160,14 +169,17 @@ def _shard(pdf: pa.Table) -> pa.Table:
     order = np.lexsort((pdf["h2"].to_numpy(), h1))
     h1, h2 = h1[order], pdf["h2"].to_numpy()[order]
     docs, keeper = pdf["n_docs"].to_numpy()[order], pdf["keeper"].to_numpy()[order]
-    # Two keys with one first hash cannot both have a slot; they would need 2**32 keys to be likely.
-    assert not (h1[1:] == h1[:-1]).any(), "two line keys share a 64-bit hash"
+    # Of keys with one first hash the first has the slot; likely from 2**32 keys on.
+    again = np.r_[False, h1[1:] == h1[:-1]]
+    extra = np.empty(int(again.sum()), _EXTRA)
+    extra["h1"], extra["h2"], extra["keeper"] = h1[again], h2[again], keeper[again]
+    h1, h2, docs, keeper = (x[~again] for x in (h1, h2, docs, keeper))
     shift, slot = build_mph(h1)
     arrays = [np.empty(len(h1), np.int64) for _ in range(3)]
     for array, value in zip(arrays, (h2, docs, keeper), strict=True):
         array[slot] = value
-    blobs = [shift.tobytes(), *(a.tobytes() for a in arrays)]
-    return pa.table({"shard": pa.array([pdf["shard"][0].as_py()], pa.int32()), "n": pa.array([len(h1)], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in zip(("shift", "print", "docs", "keeper"), blobs, strict=True)})
+    blobs = [shift.tobytes(), *(a.tobytes() for a in arrays), extra.tobytes()]
+    return pa.table({"shard": pa.array([pdf["shard"][0].as_py()], pa.int32()), "n": pa.array([len(h1)], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in zip(("shift", "print", "docs", "keeper", "extra"), blobs, strict=True)})
 
 
 def build_index(counts: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
@@ -177,72 +189,193 @@ def build_index(counts: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) ->
     return dealt.groupBy("shard").applyInArrow(tidied(_shard), _SHARD), shards
 
 
+def shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
+    return (h1.view(np.int64) >> 7) % shards
+
+
 def probe(index: dict[int, tuple], shards: int, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """True where the index knows the key and the document is not its keeper."""
     out = np.zeros(len(h1), bool)
-    shard = (h1.view(np.int64) >> 7) % shards
-    for s, (n, shift, prints, keeper) in index.items():
+    shard = shard_of(h1, shards)
+    for s, (n, shift, prints, keeper, extra) in index.items():
         at = np.flatnonzero(shard == s)
         if len(at) and n:
             h = h1[at]
             slot = _slots(h, shift[(tk.mix(h) % tk.U64(len(shift))).astype(np.int64)], n)
             known = prints[slot] == h2[at].view(np.int64)
             out[at] = known & (keeper[slot] != doc[at])
+            for e in extra:
+                out[at] |= (h == e["h1"]) & (h2[at].view(np.int64) == e["h2"]) & (doc[at] != e["keeper"])
     return out
 
 
 def _load(rows) -> dict[int, tuple]:
-    return {r["shard"]: (r["n"], np.frombuffer(r["shift"], np.uint32), np.frombuffer(r["print"], np.int64), np.frombuffer(r["keeper"], np.int64)) for r in rows}
+    return {r["shard"]: (r["n"], np.frombuffer(r["shift"], np.uint32), np.frombuffer(r["print"], np.int64), np.frombuffer(r["keeper"], np.int64), np.frombuffer(r["extra"], _EXTRA)) for r in rows}
 
 
 def _mark(shared, shards: int, min_chars: int):
-    """Adds to column ``drops`` (line numbers, int32s) what this round's shards drop."""
+    """Adds column ``drops``: the numbers of the lines to drop, as int32s."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _load(shared.value)
         for b in batches:
-            ids = b.column("doc_id").cast(pa.int64())
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            doc = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            data, offsets = tk.buffers(b.column("text"))
-            drops: list[bytes] = []
-            earlier = b.column("drops").to_pylist()
-            for i, j, part, at in tk.chunks(data, offsets):
+            yield _with_drops(b, min_chars, lambda h1, h2, doc: probe(index, shards, h1, h2, doc))
+
+    return run
+
+
+def _with_drops(b: pa.RecordBatch, min_chars: int, dropped) -> pa.RecordBatch:
+    """``b`` with column ``drops``, from ``dropped(h1, h2, doc)`` of its long lines in rows with an id."""
+    ids = b.column("doc_id").cast(pa.int64())
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    doc = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    data, offsets = tk.buffers(b.column("text"))
+    drops: list[bytes] = []
+    for i, j, part, at in tk.chunks(data, offsets):
+        lines = Lines(part, at, min_chars)
+        h1, h2 = lines.hashes(part)
+        which = np.flatnonzero(lines.long)
+        row = lines.row[which] + i
+        hit = dropped(h1, h2, doc[row]) & known[row]
+        number = (which - lines.at[lines.row[which]])[hit].astype(np.int32)
+        cut = np.searchsorted(row[hit], np.arange(i, j + 1))
+        drops += [number[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
+    return b.append_column("drops", pa.array(drops, pa.binary()))
+
+
+def _no_drops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.append_column("drops", pa.array([b""] * b.num_rows, pa.binary()))
+
+
+_PROBES = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("probes", pa.binary())])
+_PROBE = np.dtype([("doc", "<i8"), ("h1", "<u8"), ("h2", "<u8")])
+_FLUSH = 1_000_000
+
+
+def _send(shards: int, salts: np.ndarray, min_chars: int):
+    """Probes of a partition's lines, packed by shard and salt."""
+
+    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(parts)
+        shard = shard_of(np.ascontiguousarray(x["h1"]), shards)
+        salt = (tk.mix(x["doc"].astype(np.uint64)) % salts[shard].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((salt, shard))
+        x, shard, salt = x[order], shard[order], salt[order]
+        cut = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])]) if len(x) else np.zeros(0, np.int64)
+        blobs = [x[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(x)][: len(cut)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int32()), pa.array(salt[cut], pa.int32()), pa.array(blobs, pa.binary())], schema=_PROBES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for b in batches:
+            doc = b.column(0).to_numpy()
+            data, offsets = tk.buffers(b.column(1))
+            for i, _, part, at in tk.chunks(data, offsets):
                 lines = Lines(part, at, min_chars)
                 h1, h2 = lines.hashes(part)
-                which = np.flatnonzero(lines.long)
-                row = lines.row[which] + i
-                hit = probe(index, shards, h1, h2, doc[row]) & known[row]
-                number = (which - lines.at[lines.row[which]])[hit].astype(np.int32)
-                cut = np.searchsorted(row[hit], np.arange(i, j + 1))
-                drops += [number[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
-            drops = [(x or b"") + y for x, y in zip(earlier, drops, strict=True)]
-            yield b.set_column(b.schema.get_field_index("drops"), "drops", pa.array(drops, pa.binary()))
+                x = np.empty(len(h1), _PROBE)
+                x["doc"], x["h1"], x["h2"] = doc[i + lines.row[lines.long]], h1, h2
+                parts.append(x)
+                held += len(x)
+                if held >= _FLUSH:
+                    yield flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield flush(parts)
 
     return run
 
 
-def mark_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, finish=None, schema=None) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with ``drops``: numbers of the lines to drop, packed as int32.
+def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
+    return (tk.mix(doc.astype(np.uint64) + tk.U64(1)) % tk.U64(groups)).astype(np.int64)
 
-    ``finish``, a kernel from batches with ``drops`` to ``schema``, runs in the last round's workers.
-    """
+
+def _answer(shards: int, groups: int):
+    """In a shard's group: the probes whose lines go, by group of documents."""
+
+    def run(probes: pa.Table, index: pa.Table) -> pa.Table:
+        rows = []
+        if probes.num_rows and index.num_rows:
+            x = np.concatenate([np.frombuffer(p.as_py(), _PROBE) for p in probes["probes"]])
+            h1, h2, doc = (np.ascontiguousarray(x[c]) for c in ("h1", "h2", "doc"))
+            x = np.unique(x[probe(_load(index.to_pylist()), shards, h1, h2, doc)])
+            g = _group_of(x["doc"], groups)
+            order = np.argsort(g, kind="stable")
+            cut = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1]]) if len(x) else np.zeros(0, np.int64)
+            rows = [(int(g[order[i]]), x[order[i:j]].tobytes()) for i, j in zip(cut, [*cut[1:], len(x)][: len(cut)], strict=True)]
+        return pa.table({"g": pa.array([r[0] for r in rows], pa.int64()), "gone": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
+
+
+def _groups(groups: int):
+    """Adds the group of each row: by id, so that its answers find it; rows without one are spread by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id").cast(pa.int64())
+            spread = tk.row_hash(*tk.buffers(b.column("text"))) % tk.U64(groups)
+            own = _group_of(ids.fill_null(0).to_numpy(zero_copy_only=False), groups)
+            yield b.append_column("g", pa.array(np.where(ids.is_valid().to_numpy(zero_copy_only=False), own, spread.astype(np.int64))))
+
+    return run
+
+
+def _meet(min_chars: int, finish, group: str):
+    """A group of documents and the answers for it."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        gone = np.unique(np.concatenate([np.zeros(0, _PROBE), *(np.frombuffer(x.as_py(), _PROBE) for x in answers["gone"])]))
+
+        def dropped(h1, h2, doc):
+            x = np.empty(len(h1), _PROBE)
+            x["doc"], x["h1"], x["h2"] = doc, h1, h2
+            return np.isin(x, gone) if len(gone) else np.zeros(len(x), bool)
+
+        docs = docs.drop_columns([group])
+        return pa.Table.from_batches(finish(_with_drops(b, min_chars, dropped) for b in docs.combine_chunks().to_batches()))
+
+    return run
+
+
+def mark_lines(docs: DataFrame, finish, schema, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, probe_rows: int = PROBE_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``finish`` (a batch kernel to ``schema``) of ``docs`` (doc_id, text and any others) with ``drops``: numbers of the lines to drop, as int32s."""
     spark = docs.sparkSession
     counts = settle(line_counts(docs, min_chars, min_docs), "line-counts")
     n_keys = counts.count()
-    out = docs.withColumn("drops", F.lit(b""))
     if not n_keys:
-        return out.mapInArrow(tidied_batches(finish), schema) if finish else out
+        return docs.mapInArrow(tidied_batches(_then(_no_drops, finish)), schema)
     made, shards = build_index(counts, n_keys, shard_keys)
-    index = settle(made, "line-index")
-    per_round = max(1, broadcast_bytes // (26 * shard_keys))
-    for first in range(0, shards, per_round):
-        rows = [r.asDict() for r in index.filter(F.col("shard").between(first, first + per_round - 1)).select("shard", "n", "shift", "print", "keeper").collect()]
-        mark = _mark(spark.sparkContext.broadcast(rows), shards, min_chars)
-        if finish and first + per_round >= shards:
-            return out.mapInArrow(tidied_batches(_then(mark, finish)), schema)
-        out = out.mapInArrow(tidied_batches(mark), out.schema)
-    return out
+    index = settle(made, "line-index").select("shard", "n", "shift", "print", "keeper", "extra")
+    if 26 * n_keys <= broadcast_bytes:
+        rows = [r.asDict() for r in index.collect()]
+        return docs.mapInArrow(tidied_batches(_then(_mark(spark.sparkContext.broadcast(rows), shards, min_chars), finish)), schema)
+    # A shard's probes: those that hit, which the counts give, and its even share of the others, a line having its bytes.
+    size = text_bytes(docs)
+    hits = counts.groupBy(F.pmod(F.shiftright("h1", 7), F.lit(shards)).cast("int").alias("shard")).agg(F.sum("n_docs").alias("hits"))
+    salted = hits.select("shard", (F.lit(1) + F.ceil((F.col("hits") + F.lit(size / (min_chars + 1) / shards)) / probe_rows)).cast("int").alias("salts"))
+    salts = np.ones(shards, np.int64)
+    for r in salted.collect():  # a row for each shard of SHARD_KEYS keys
+        salts[r["shard"]] = r["salts"]
+    groups = max(8, -(-size // group_bytes))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    probes = rows.mapInArrow(tidied_batches(_send(shards, salts, min_chars)), "shard int, salt int, probes binary")
+    dealt = index.join(salted, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    answers = probes.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInArrow(tidied_pair(_answer(shards, groups)), "g long, gone binary")
+    name = free_name(docs, "g")
+    grouped = docs.mapInArrow(_named(_groups(groups), name), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return grouped.groupBy(name).cogroup(answers.withColumnRenamed("g", name).groupBy(name)).applyInArrow(tidied_pair(_meet(min_chars, finish, name)), schema)
+
+
+def _named(kernel, name: str):
+    """A batch kernel whose last column gets ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in kernel(batches):
+            yield b.rename_columns([*b.schema.names[:-1], name])
+
+    return run
 
 
 def _then(first, second):
@@ -275,16 +408,18 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_lines before dropping, n_dropped, kept_sha256 of the rest."""
-    return mark_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), finish=_report, schema="doc_id long, n_lines long, n_dropped long, kept_sha256 string", **options)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return mark_lines(own, _report, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", **options)
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; all columns stay, and ``n_chars``, if there, follows."""
-    named = docs.withColumnRenamed("drops", "__drops_in") if "drops" in docs.columns else docs
-    out = mark_lines(named, finish=_rewrite, schema=named.schema, **options)
+    other, clash = free_name(docs, "drops_in"), next((c for c in docs.columns if c == "drops"), None)
+    named = docs.withColumnRenamed(clash, other) if clash else docs
+    out = mark_lines(named, _rewrite, named.schema, **options)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.withColumnRenamed("__drops_in", "drops") if "drops" in docs.columns else out
+    return out.withColumnRenamed(other, clash) if clash else out
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
