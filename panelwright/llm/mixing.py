@@ -15,7 +15,8 @@ data only one row per source reaches the driver.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is
 a source of its own, last in order; rows are documents whether or not ids
-repeat, and rows equal in everything share alike; an empty table gives none.
+repeat, and rows equal in everything lie side by side, so their shares differ by
+one more or less turn of a block at most; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ SHARE = 1.5
 MAX_EPOCHS = 2.0
 BLOCK_WORDS = 4096
 MIN_BLOCKS = 256
-PIECE_ROWS = 20_000
+PIECE_ROWS = 4096
 PIECE_SLOTS = 65_536
+BROADCAST_SOURCES = 100_000
 #: 2**64 over the golden ratio, odd: multiples of it modulo 2**64 are the golden-ratio sequence.
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -104,9 +106,10 @@ def _points(edges: list[int], sids: list[int]):
 def schedule(spark: SparkSession, plan: list[dict]) -> DataFrame:
     """(slot, sid, rank, block): every slot of the schedule and its rank among its source's slots.
 
-    The sequence runs on a little past the sum of the wanted slots, and a slot
-    whose source is already served is left out, so that each source gets its
-    number in spite of the sequence's (logarithmic) discrepancy.
+    The sequence has as many points as slots are wanted.  A source gets more or
+    fewer than its number by the sequence's (logarithmic) discrepancy: what is
+    over is left out, and what is missing follows at the end, in the order of
+    ranks.
     """
     live = [p for p in plan if p["slots"]]
     total = sum(p["slots"] for p in live)
@@ -116,14 +119,22 @@ def schedule(spark: SparkSession, plan: list[dict]) -> DataFrame:
     for p in live:
         edge += p["slots"]
         edges.append(min((edge << 64) // total, (1 << 64) - 1))
-    # A source of k slots is served after total + c * total / k slots, c the discrepancy of its interval.
-    n = total + -(-16 * total // min(p["slots"] for p in live))
-    slots = spark.range(n).mapInArrow(_points(edges, [p["sid"] for p in live]), "slot long, sid int").withColumn("piece", F.expr(f"slot div {PIECE_SLOTS}"))
-    wanted = F.broadcast(spark.createDataFrame([(p["sid"], p["slots"], p["blocks"]) for p in live], "sid int, wanted long, blocks long"))
+    slots = spark.range(total).mapInArrow(_points(edges, [p["sid"] for p in live]), "slot long, sid int").withColumn("piece", F.expr(f"slot div {PIECE_SLOTS}"))
+    wanted = _by_source(spark.createDataFrame([(p["sid"], p["slots"], p["blocks"]) for p in live], "sid int, wanted long, blocks long"), len(live))
     sums = slots.groupBy("piece", "sid").agg(F.count(F.lit(1)).alias("n"))
     base = sums.select("piece", "sid", (F.sum("n").over(Window.partitionBy("sid").orderBy("piece")) - F.col("n")).alias("base"))
     ranked = slots.join(base, ["piece", "sid"]).withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("piece", "sid").orderBy("slot")) - 1)
-    return ranked.join(wanted, "sid").filter("rank < wanted").select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    served = ranked.join(wanted, "sid").filter("rank < wanted").select("slot", "sid", "rank", "blocks")
+    got = sums.groupBy("sid").agg(F.sum("n").alias("got"))
+    short = wanted.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < wanted").withColumn("rank", F.explode(F.expr("sequence(got, wanted - 1)")))
+    # A few rows for each source.
+    late = short.select((F.lit(total - 1) + F.row_number().over(Window.orderBy("rank", "sid"))).alias("slot"), "sid", "rank", "blocks")
+    return served.unionByName(late).select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+
+
+def _by_source(rows: DataFrame, n: int) -> DataFrame:
+    """One row per source: broadcast while there are at most BROADCAST_SOURCES."""
+    return F.broadcast(rows) if n <= BROADCAST_SOURCES else rows
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -136,8 +147,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
         return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
     dim = spark.createDataFrame([(p["sid"], p["source"], p["source_size"], p["target"], p["words"], p["blocks"]) for p in plan], "sid int, source string, source_size long, target double, words long, blocks long")
     pieces = max(1, -(-sum(r for *_, r in totals) // PIECE_ROWS))
-    # A broadcast of one row per source: sources are labels, and their number was just collected.
-    rows = sized.join(F.broadcast(dim).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("piece", F.pmod(F.shiftright("h", 20), F.lit(pieces)))
+    rows = sized.join(_by_source(dim.withColumnRenamed("source", "s"), len(plan)), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("piece", F.pmod(F.shiftright("h", 20), F.lit(pieces)))
     sums = rows.groupBy("sid", "piece").agg(F.sum("size").alias("n"))
     base = sums.select("sid", "piece", (F.sum("n").over(Window.partitionBy("sid").orderBy("piece")) - F.col("n")).alias("base"))
     inside = Window.partitionBy("sid", "piece").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
