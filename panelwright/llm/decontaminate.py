@@ -15,8 +15,9 @@
 
 Items travel to the executors in blocks of bounded size; no text is shuffled.
 
-Defined results: null and empty texts match nothing; items under MIN_WORDS words
-are no passages and match nothing; repeated documents are each reported; repeated
+Defined results: null and empty texts and items without words match nothing; items
+under MIN_WORDS words are no passages and match documents that consist of just
+their words; repeated documents are each reported; repeated
 items (same id) count as the item with the least text; equal items with different
 ids are each reported.
 """
@@ -52,9 +53,14 @@ class Items:
         data = np.frombuffer("".join(texts).encode(), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
         w = tk.Words(data, offsets, alnum=True)
+        # Passages first, then short items, found by their whole word sequence.
         keep = np.flatnonzero(w.counts >= MIN_WORDS)
-        self.ids = np.array(ids, np.int64)[keep]
+        few = np.flatnonzero((w.counts > 0) & (w.counts < MIN_WORDS))
+        self.ids = np.array(ids, np.int64)[np.r_[keep, few]]
         self.words = [w.hashes[w.at[k] : w.at[k + 1]] for k in keep]
+        self.short: dict[bytes, list[int]] = {}
+        for k, place in enumerate(few, len(keep)):
+            self.short.setdefault(w.hashes[w.at[place] : w.at[place + 1]].tobytes(), []).append(k)
         grams, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, words in enumerate(self.words):
             g = ngrams(words)
@@ -170,6 +176,9 @@ def least_score(words: int) -> float:
 def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item index, score, first word, end word) of the best alignment of each reported pair."""
     w = tk.Words(data, offsets, alnum=True)
+    for r in np.flatnonzero((w.counts > 0) & (w.counts < MIN_WORDS)) if items.short else ():
+        for k in items.short.get(w.hashes[w.at[r] : w.at[r + 1]].tobytes(), ()):
+            yield int(r), k, 1.0, 0, int(w.counts[r])
     if len(w.hashes) < SEED_WORDS or not items.words:
         return
     row = np.repeat(np.arange(len(offsets) - 1), w.counts)
@@ -240,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], _FOUND)
     for items in item_blocks(benchmark):
-        if not items.words:
+        if not len(items.ids):
             continue
         out = out.unionByName(texts.mapInArrow(tidied_batches(_find(spark.sparkContext.broadcast(items))), _FOUND))
     return out
@@ -264,7 +273,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     out = docs
     for items in item_blocks(benchmark):
-        if not items.words:
+        if not len(items.ids):
             continue
         out = out.mapInArrow(tidied_batches(_clean(spark.sparkContext.broadcast(items))), out.schema)
     return out
