@@ -7,10 +7,10 @@ template of m distinct words when it has at least ceil(THRESHOLD * m) =: a of th
 1. One pass counts the corpus frequency of the templates' words (partition sums
    over the fixed vocabulary), which orders them globally, rare first.
 2. A block with a common words has one of the m - a + 1 rarest: these prefixes
-   are the index.  Blocks are probed word by word against it; the length filter
-   wants a distinct words at least, the positional filter drops a block whose
-   first match stands so late in the template's order that fewer than a words
-   remain (or, on the block's side, so few words that a cannot be reached).
+   make an inverted index from words to templates.  A line's words, sorted by the
+   global order, are looked up in it.  The length filter wants a distinct words of
+   the line at least, the positional filter a of them from the matching one on:
+   the first match of a line that meets the template leaves room for them.
 3. What is left is verified by counting its distinct common words.
 4. A window begins at a template's word.  It is dropped unless it holds a of the
    template's words, repeated or not, one of them from the prefix.  Of windows
@@ -19,6 +19,9 @@ template of m distinct words when it has at least ceil(THRESHOLD * m) =: a of th
    lines that it overlaps and that hold fewer.  It borrows no words: a window that
    overlaps a line which meets a template of another label, and holds more of
    that, is left out.
+5. Templates may be alike (a text of one would meet the other).  Of overlapping
+   blocks of such templates with different labels the one that holds the larger
+   share of its template counts, of equal shares the one with more words.
 
 Templates and phrases are fixed and small, so they travel to the executors and no
 text is shuffled.
@@ -62,6 +65,15 @@ TEMPLATES = {
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": "agpl",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "This is free and unencumbered software released into the public domain": "unlicense",
+    "Distributed under the Boost Software License, Version 1.0": "boost-1",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "epl-2",
+    "SPDX-License-Identifier: MIT": "mit",
+    "SPDX-License-Identifier: ISC": "isc",
 }
 
 
@@ -92,6 +104,17 @@ class Scanner:
         self.position = np.full((len(sets), len(self.vocabulary)), 1 << 20, np.int64)
         for t, (order, _, _) in enumerate(self.templates):
             self.position[t, order] = np.arange(len(order))
+        # The global order, and the prefix index: templates by word.
+        self.rank = np.empty(len(self.vocabulary), np.int64)
+        self.rank[np.lexsort((self.vocabulary, often))] = np.arange(len(self.vocabulary))
+        prefix = [(v, t) for t, (order, need, _) in enumerate(self.templates) for v in order[: len(order) - need + 1].tolist()]
+        prefix = np.array(sorted(prefix), np.int64).reshape(-1, 2)
+        self.post = np.searchsorted(prefix[:, 0], np.arange(len(self.vocabulary) + 1))
+        self.post_template = prefix[:, 1]
+        self.needs = np.array([need for _, need, _ in self.templates], np.int64)
+        # alike[t]: templates of another label that a text of t meets, or whose text meets t.
+        own = [set(order.tolist()) for order, _, _ in self.templates]
+        self.alike = [[u for u, (_, needs, another) in enumerate(self.templates) if another != label and len(own[t] & own[u]) >= min(need, needs)] for t, (_, need, label) in enumerate(self.templates)]
         self.table = np.zeros(1 << 16, bool)
         self.table[(self.vocabulary >> tk.U64(48)).astype(np.int64)] = True
 
@@ -144,31 +167,38 @@ class Scanner:
         # A line's number: line feeds before it plus rows before it, so it never spans rows.
         line = np.searchsorted(feeds, w.starts[place]) + np.searchsorted(offsets, w.starts[place], "right")
         every = place, v, line
-        order = np.lexsort((v, line))
+        order = np.lexsort((self.rank[v], line))
         place, v, line = place[order], v[order], line[order]
         new = np.r_[True, (line[1:] != line[:-1]) | (v[1:] != v[:-1])]
         place, v, line = place[new], v[new], line[new]
-        start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-        bounds = np.r_[start, len(line)]
-        held = np.diff(bounds)
-        lines: list[list] = []
-        for t, (words, need, _) in enumerate(self.templates):
-            m = len(words)
-            pos = self.position[t][v]
-            # Prefix and positional filters: the first match of the line in the template's order.
-            least = np.minimum.reduceat(pos, start)
-            lines.append([])
-            for k in np.flatnonzero((least <= m - need) & (held >= need)):
-                common = int((pos[bounds[k] : bounds[k + 1]] < m).sum())
-                if common >= need:
-                    own = place[bounds[k] : bounds[k + 1]][pos[bounds[k] : bounds[k + 1]] < m]
-                    lines[-1].append((int(own.min()), int(own.max()) + 1, common))
+        bounds = np.r_[np.flatnonzero(np.r_[True, line[1:] != line[:-1]]), len(line)]
+        # Each word of a line against the prefix index: (line, template) where a template's least number of words has room.
+        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        left = bounds[of + 1] - np.arange(len(v))
+        held = self.post[v + 1] - self.post[v]
+        ends = np.cumsum(held)
+        word = np.repeat(np.arange(len(v)), held)
+        template = self.post_template[np.repeat(self.post[v] - (ends - held), held) + np.arange(ends[-1])]
+        room = left[word] >= self.needs[template]
+        met = np.unique(of[word[room]] * len(self.templates) + template[room])
+        lines: list[list] = [[] for _ in self.templates]
+        for k, t in zip((met // len(self.templates)).tolist(), (met % len(self.templates)).tolist(), strict=True):
+            at = slice(bounds[k], bounds[k + 1])
+            own = place[at][self.position[t][v[at]] < len(self.templates[t][0])]
+            if len(own) >= self.needs[t]:
+                lines[t].append((int(own.min()), int(own.max()) + 1, len(own)))
+        found: list[list] = []
         for t, (words, _, label) in enumerate(self.templates):
             windows = self._windows(t, w, *every)
             for u, (other, _, another) in enumerate(self.templates if windows else ()):
                 if another != label:
                     windows = [x for x in windows if _most(lines[u], x) * len(words) <= x[2] * len(other)]
-            for a, b, common in _merged(lines[t], windows):
+            found.append(_merged(lines[t], windows))
+        for t, (words, _, label) in enumerate(self.templates):
+            rivals = [(found[u], len(self.templates[u][0])) for u in self.alike[t] if found[u]] if found[t] else ()
+            for a, b, common in found[t]:
+                if any((most * len(words), most) > (common * m, common) for most, m in ((_most(blocks, (a, b)), m) for blocks, m in rivals)):
+                    continue
                 r = int(np.searchsorted(offsets, w.starts[a], "right")) - 1
                 yield r, int(a - w.at[r]), int(b - w.at[r]), label, common / len(words)
 
