@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components
-from .support import settle, table, text_bytes, tidied, tidied_batches
+from .support import free_name, settle, table, text_bytes, tidied, tidied_batches
 
 WORDS = 5
 PERCENT = 80
@@ -388,8 +388,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sizes = settle(members.select("doc_id", F.expr("octet_length(tokens) div 8").alias("load")).join(named, "doc_id").groupBy("closure").agg(F.sum("load").alias("load")), "closure-sizes")
     total = sizes.agg(F.coalesce(F.sum("load"), F.lit(0)).alias("t"), F.coalesce(F.max("load"), F.lit(0)).alias("m")).first()
     bins = max(1, -(-4 * int(total["t"]) // task_tokens))
-    # Closures above the bound are few: each has more than task_tokens tokens.
-    large_ones = F.broadcast(sizes.filter(F.col("load") > task_tokens).withColumn("blocks", F.ceil(F.col("load") * 2 / task_tokens).cast("int")))
+    large_ones = sizes.filter(F.col("load") > task_tokens).withColumn("blocks", F.ceil(F.col("load") * 2 / task_tokens).cast("int"))
+    # Each closure above the bound has more than task_tokens tokens, so there are total / task_tokens of them at most.
+    if int(total["t"]) // task_tokens <= BROADCAST_ROWS:
+        large_ones = F.broadcast(large_ones)
     small = tasks.join(large_ones, "closure", "left_anti").withColumn("task", F.pmod(F.xxhash64("closure"), F.lit(bins)).cast("string"))
     solve = "a long, b long"
     links = small.groupBy("task").applyInArrow(tidied(_solve(percent)), solve)
@@ -421,8 +423,9 @@ def _sizes_only(words: int):
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but the least id of each component; rows without an id stay."""
     found = jaccard_components(docs, **options)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
