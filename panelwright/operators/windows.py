@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import kernels
 from ..plans.catalogue import CATALOGUE
-from ..plans.fixtures import STEP, W
+from ..plans.runs import rolled
+from ..plans.sql import Tables
 
 #: Complete rows a window needs for each of its series; a thinner window gives no result rows.
 ROWS_PER_SERIES = 2
@@ -19,29 +19,16 @@ ROWS_PER_SERIES = 2
 EDGES = "w long, lag int, src string, dst string, weight double"
 
 
-def log_returns(prices: DataFrame, key: str = "name", when: str = "d", value: str = "price") -> DataFrame:
-    """Log return of each series; its first row goes."""
-    order = Window.partitionBy(key).orderBy(when)
-    return prices.withColumn("v", F.log(F.col(value) / F.lag(value).over(order))).filter(F.col("v").isNotNull())
-
-
-def roll(rows: DataFrame, n: int, width: int = W, step: int = STEP) -> DataFrame:
-    """Each row once for every window [step * w, step * w + width) that holds it: arithmetic, no range join."""
-    lo = F.greatest(F.lit(0), F.floor((F.col("r") - width + step) / step))
-    hi = F.least(F.floor(F.col("r") / step), F.lit((n - width) // step))
-    return rows.withColumn("lo", lo).withColumn("hi", hi).filter("lo <= hi").withColumn("w", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
-
-
 def per_window(rolled: DataFrame, kernel: Callable[[int, list[str], np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """``kernel(window, names, matrix)`` for each window; the matrix has the rows all series share, in order.
 
     A group is one window, whose size is fixed by its width, not by the table.
-    Windows thinner than ROWS_PER_SERIES are left out.
+    Windows thinner than ROWS_PER_SERIES are left out; rows that repeat a series in a row are averaged.
     """
     columns = [field.split()[0] for field in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="r", columns="name", values="v").sort_index().dropna()
+        wide = pdf.pivot_table(index="r", columns="name", values="v").sort_index().dropna()
         if len(wide) < ROWS_PER_SERIES * wide.shape[1]:
             return pd.DataFrame(columns=columns)
         return kernel(int(pdf["w"].iloc[0]), list(wide.columns), wide.to_numpy())
@@ -108,8 +95,7 @@ def _dependence(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(w, r, name, v): the rolled weekly return panel."""
-    views = CATALOGUE.__class__(CATALOGUE.views, {"rolled_panel": "SELECT w, r, name, v FROM rolled"})
-    return views.run("rolled_panel", spark, sf_dir)
+    return rolled(Tables(CATALOGUE, spark, sf_dir)).select("w", "r", "name", "v")
 
 
 def _query(kernel, schema: str):

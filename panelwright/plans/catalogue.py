@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .fixtures import VIEWS
+from .runs import RUNS
 from .sql import Catalogue
 
 _SHARPE = "CASE WHEN stddev_pop({0}) < 1e-12 THEN 0e0 ELSE sqrt(52e0) * avg({0}) / stddev_pop({0}) END"
@@ -15,21 +17,12 @@ PANEL = {
     "yoy_diff_monthly": "SELECT a.m, a.name, @r(a.v - b.v) AS yoy FROM monthly a JOIN monthly b ON a.name = b.name AND b.m = CAST(a.m - INTERVAL '12' MONTH AS DATE)",
     "ffill_limit5": "SELECT d, name, @r(@known(price) OVER (PARTITION BY name ORDER BY d ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) AS price FROM (SELECT t.d, n.name, x.price FROM days t CROSS JOIN names n LEFT JOIN daily x ON x.d = t.d AND x.name = n.name) g",
     "spine_join": "SELECT t.d, n.name, @r(x.price) AS price FROM days t CROSS JOIN names n LEFT JOIN daily x ON x.d = t.d AND x.name = n.name",
-    "asof_macro_daily": """SELECT d, name, @r(v) AS v FROM (SELECT d, name, src, @known(v) OVER (PARTITION BY name ORDER BY d, src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM (
-  SELECT m AS d, name, 0 AS src, v FROM monthly UNION ALL SELECT c.d, s.name, 1 AS src, CAST(NULL AS DOUBLE) AS v FROM cal c CROSS JOIN (SELECT DISTINCT name FROM monthly) s) u) x WHERE src = 1""",
-    "asof_gap_lookup": """SELECT d, name, @r(v) AS v FROM (SELECT d, name, src, @known(v) OVER (PARTITION BY name ORDER BY k, src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM (
-  SELECT m AS d, m AS k, name, 0 AS src, v FROM monthly UNION ALL SELECT c.d, @addd(c.d; -21) AS k, s.name, 1 AS src, CAST(NULL AS DOUBLE) AS v FROM cal c CROSS JOIN (SELECT DISTINCT name FROM monthly) s) u) x WHERE src = 1""",
-    "asof_forward_leak": """SELECT d, name, @r(v) AS v FROM (SELECT d, name, src, @known(v) OVER (PARTITION BY name ORDER BY k, src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM (
-  SELECT m AS d, m AS k, name, 0 AS src, v FROM monthly UNION ALL SELECT c.d, @addd(c.d; 21) AS k, s.name, 1 AS src, CAST(NULL AS DOUBLE) AS v FROM cal c CROSS JOIN (SELECT DISTINCT name FROM monthly) s) u) x WHERE src = 1""",
     "derived_spread_ratio": "SELECT a.d, @r(a.price - b.price) AS spread, @r(a.price / b.price) AS ratio FROM px a JOIN px b ON a.d = b.d AND a.name = 'A0' AND b.name = 'A1'",
     "availability_gate": "SELECT d, name, CASE WHEN d >= DATE '1997-01-01' THEN @r(price) END AS price FROM px",
     "backend_cascade": "SELECT d, name, @r(price) AS price, src FROM (SELECT d, name, price, src, row_number() OVER (PARTITION BY d, name ORDER BY src) AS k FROM (SELECT d, name, price, 0 AS src FROM px WHERE volume > 500 UNION ALL SELECT d, name, price, 1 AS src FROM px) u) x WHERE k = 1",
-    "joint_drop_any": "SELECT t.d, t.name, @r(t.price) AS price FROM daily t JOIN (SELECT d FROM daily GROUP BY d HAVING count(*) = 8) f ON f.d = t.d",
-    "joint_eligibility": "SELECT t.d, n.name, @r(coalesce(x.price, 0e0)) AS price, x.price IS NOT NULL AS eligible FROM days t CROSS JOIN names n LEFT JOIN daily x ON x.d = t.d AND x.name = n.name",
-    "eligible_in_window": "SELECT w, name, min(CASE WHEN x.price IS NULL THEN 0 ELSE 1 END) = 1 AS eligible FROM (SELECT @seq(lo; hi) AS w, d FROM (SELECT d, greatest(0, @idiv(r - 39; 20)) AS lo, least(@idiv(r; 20), 50) AS hi FROM days) s WHERE lo <= hi) g CROSS JOIN names n LEFT JOIN daily x USING (d, name) GROUP BY w, name",
+    "joint_drop_any": "SELECT t.d, t.name, @r(t.price) AS price FROM daily t JOIN (SELECT d FROM daily GROUP BY d HAVING count(*) = (SELECT count(*) FROM names)) f ON f.d = t.d",
     "sparse_asset_drop": "SELECT x.name, @n(count(*)) AS n FROM daily x CROSS JOIN (SELECT count(*) AS t FROM days) s GROUP BY x.name, s.t HAVING count(*) >= 0.95 * s.t",
-    "coverage_report": "SELECT x.d, @n(count(*)) AS resolved, @r(count(*) / 8e0) AS coverage, count(*) / 8e0 < 0.95 AS short FROM daily x GROUP BY x.d",
-    "rolling_windows": "SELECT w, min(r) AS start_row, max(r) + 1 AS end_row, min(d) AS start_date, max(d) AS end_date FROM rolled GROUP BY w",
+    "coverage_report": "SELECT x.d, @n(count(*)) AS resolved, @r(count(*) / max(s.n)) AS coverage, count(*) / max(s.n) < 0.95 AS short FROM daily x CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM names) s GROUP BY x.d",
     "zscore_window": "SELECT w, r, name, @r((v - avg(v) OVER (PARTITION BY w, name)) / greatest(stddev_pop(v) OVER (PARTITION BY w, name), 1e-12)) AS z FROM rolled",
     "standardise_global": "SELECT d, name, @r((v - avg(v) OVER (PARTITION BY name)) / nullif(stddev_pop(v) OVER (PARTITION BY name), 0e0)) AS z FROM ret WHERE v IS NOT NULL",
     "rolling_cov": "SELECT w, a, b, @r(cov) AS cov FROM pairs",
@@ -42,7 +35,6 @@ PANEL = {
     "every_nth_row": "SELECT d, r FROM cal WHERE r >= 26 AND (r - 26) % 13 = 0",
     "overlap_guard": "SELECT a.name AS asset, b.name AS driver, @n(count(*)) AS common FROM ret a JOIN dret b ON a.d = b.d WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1, 2",
     "hourly_events": "SELECT h, event_type, n, @r(v) AS v FROM hourly",
-    "ticker_normalise": "SELECT DISTINCT s_name, replace(upper(trim(s_name)), '#', '-') AS ticker FROM supplier",
     "interval_overlap": "SELECT a.q AS qa, b.q AS qb, a.name FROM member a JOIN member b ON a.name = b.name AND b.q > a.q AND @days(a.q; b.q) <= 100",
 }
 
@@ -60,29 +52,14 @@ UNIVERSE = {
 }
 
 SELECTION = {
-    "cumcorr_topk": """SELECT w, name, score, @n(k) AS k FROM (SELECT w, name, score, row_number() OVER (PARTITION BY w ORDER BY score DESC, name) AS k FROM (
-  SELECT w, name, @r(sum(abs(rho))) AS score FROM (
-    SELECT a.w, a.name, b.name AS asset, s.lag, @corr(a.v; b.v) AS rho FROM rolled a CROSS JOIN (SELECT @seq(0; 1) AS lag) s JOIN rolled b ON b.w = a.w AND b.r = a.r + s.lag
-    WHERE a.role = 'driver' AND b.role = 'asset' GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10) c GROUP BY 1, 2) x) y WHERE k <= 3""",
     "stage_a_scores": "SELECT e.w, e.src, @r(sum(CASE WHEN abs(e.rho) >= t.thr THEN abs(e.rho) ELSE 0e0 END)) AS score FROM lagged e JOIN (SELECT w, @pct(abs(rho); 0.9) - 1e-9 AS thr FROM lagged WHERE rs = 'driver' AND rd = 'asset' AND rho <> 0 GROUP BY w) t ON t.w = e.w WHERE e.rs = 'driver' AND e.rd = 'asset' GROUP BY 1, 2",
-    "alpha_blend_pool": "SELECT w, name, @r(0.7e0 * z + 0.3e0 * coalesce(lag(z) OVER (PARTITION BY name ORDER BY w), 0e0)) AS blended FROM (SELECT w, name, (abs_sum - avg(abs_sum) OVER (PARTITION BY w)) / greatest(stddev_pop(abs_sum) OVER (PARTITION BY w), 1e-12) AS z FROM score) x",
-    "kneedle_k": "SELECT w, min(k) AS knee FROM (SELECT w, k, gap, max(gap) OVER (PARTITION BY w) AS top FROM (SELECT w, k, @r(abs((k - 1e0) / (count(*) OVER (PARTITION BY w) - 1) + (abs_sum - min(abs_sum) OVER (PARTITION BY w)) / nullif(max(abs_sum) OVER (PARTITION BY w) - min(abs_sum) OVER (PARTITION BY w), 0e0) - 1) / sqrt(2e0)) AS gap FROM score) x) y WHERE gap = top GROUP BY w",
-    "bh_fdr": "SELECT w, name, p, p <= coalesce(max(CASE WHEN p <= k * 0.3e0 / m THEN p END) OVER (PARTITION BY w), -1e0) AS selected FROM (SELECT w, name, p, row_number() OVER (PARTITION BY w ORDER BY p, name) AS k, count(*) OVER (PARTITION BY w) AS m FROM (SELECT a.w, a.name, @r((1e0 + sum(CASE WHEN b.abs_sum >= a.abs_sum THEN 1 ELSE 0 END)) / (1e0 + count(*))) AS p FROM score a JOIN score b ON a.w <> b.w GROUP BY 1, 2) x) y",
+    "kneedle_k": "SELECT w, min(k) AS knee FROM (SELECT w, k, gap, max(gap) OVER (PARTITION BY w) AS top FROM (SELECT w, k, round(abs((k - 1e0) / (count(*) OVER (PARTITION BY w) - 1) + (abs_sum - min(abs_sum) OVER (PARTITION BY w)) / nullif(max(abs_sum) OVER (PARTITION BY w) - min(abs_sum) OVER (PARTITION BY w), 0e0) - 1) / sqrt(2e0), 9) AS gap FROM score) x) y WHERE gap = top GROUP BY w",
     "tabu_edges": "SELECT a.name AS src, b.name AS dst, lag FROM (SELECT name FROM names) a CROSS JOIN (SELECT DISTINCT name FROM raw) b CROSS JOIN (SELECT @seq(0; 2) AS lag) l",
-    "selected_jaccard": "SELECT w, @r(CAST(sum(CASE WHEN p IS NOT NULL AND c IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(*)) AS jaccard FROM (SELECT coalesce(a.w, b.w + 1) AS w, a.name AS c, b.name AS p FROM (SELECT * FROM score WHERE k <= 2) a FULL OUTER JOIN (SELECT * FROM score WHERE k <= 2) b ON a.name = b.name AND a.w = b.w + 1) x GROUP BY w",
-    "checkpoint_resume": "SELECT DISTINCT r.w FROM rolled r LEFT JOIN (SELECT DISTINCT w FROM edges WHERE w % 2 = 0) e ON r.w = e.w WHERE e.w IS NULL",
 }
 
-_HOLD = "SELECT c.r, c.d, x.v, x.name, @idiv(c.r - 27; 21) AS reb FROM cal c JOIN ret x ON c.d = x.d WHERE c.r > 26 AND x.v IS NOT NULL"
 PORTFOLIO = {
     "equal_weight_nav": "SELECT d, @r(g) AS g, @r(nav) AS nav FROM nav",
     "cap_weight_nav": "SELECT d, @r(g) AS g, @r(exp(sum(ln(1 + g)) OVER (ORDER BY d))) AS nav FROM capport",
-    "holding_returns": f"SELECT reb, d, @r(avg(exp(v) - 1)) AS gross FROM ({_HOLD}) h GROUP BY reb, d",
-    "holding_reward": f"SELECT reb, @r({_SHARPE.format('g')}) AS reward FROM (SELECT reb, d, avg(exp(v) - 1) AS g FROM ({_HOLD}) h GROUP BY reb, d) x GROUP BY reb",
-    "turnover": "SELECT coalesce(a.r, b.r + 21) AS r, @r(0.5e0 * sum(abs(coalesce(a.w, 0e0) - coalesce(b.w, 0e0)))) AS turnover FROM (SELECT c.r, x.name, x.w FROM capw x JOIN cal c ON c.d = x.d WHERE c.r % 21 = 0) a FULL OUTER JOIN (SELECT c.r, x.name, x.w FROM capw x JOIN cal c ON c.d = x.d WHERE c.r % 21 = 0) b ON a.name = b.name AND a.r = b.r + 21 GROUP BY 1",
-    "net_of_costs": "SELECT d, @r(g - CASE WHEN r % 21 = 1 THEN 0.0005e0 * t ELSE 0e0 END) AS net FROM capport p LEFT JOIN (SELECT a.r + 1 AS rr, 0.5e0 * sum(abs(a.w - b.w)) AS t FROM (SELECT c.r, x.name, x.w FROM capw x JOIN cal c ON c.d = x.d) a JOIN (SELECT c.r, x.name, x.w FROM capw x JOIN cal c ON c.d = x.d) b ON a.name = b.name AND a.r = b.r + 21 GROUP BY 1) k ON k.rr = p.r WHERE r > 21",
-    "performance_summary": f"SELECT @r({_SHARPE.format('g')}) AS sharpe, @r(exp(sum(ln(1 + g)) * 52 / count(*)) - 1) AS cagr, @r(stddev_pop(g) * sqrt(52e0)) AS vol, @r(sqrt(avg(CASE WHEN g < 0 THEN g * g END)) * sqrt(52e0)) AS downside FROM port",
-    "sortino": "SELECT @r(sqrt(52e0) * avg(g) / nullif(sqrt(avg(CASE WHEN g < 0 THEN g * g END)), 0e0)) AS sortino FROM port",
     "certainty_equivalent": "SELECT gamma, @r(52 * (avg(g) - 0.5e0 * gamma * var_pop(g))) AS cer FROM port CROSS JOIN (SELECT @seq(1; 5) AS gamma) x WHERE gamma IN (1, 3, 5) GROUP BY gamma",
     "max_drawdown": "SELECT @r(min(nav / peak - 1)) AS mdd FROM (SELECT nav, max(nav) OVER (ORDER BY d) AS peak FROM nav) x",
     "calmar": "SELECT @r((exp(sum(ln(1 + g)) * 52 / count(*)) - 1) / nullif(abs(min(nav / peak - 1)), 0e0)) AS calmar FROM (SELECT g, nav, max(nav) OVER (ORDER BY d) AS peak FROM nav) x",
@@ -90,11 +67,7 @@ PORTFOLIO = {
     "hhi_effective_n": "SELECT d, @r(sum(w * w)) AS hhi, @r(1 / nullif(sum(w * w), 0e0)) AS effective_n, @r(max(w)) AS max_weight FROM capw GROUP BY d",
     "regime_masks": "SELECT p.d, p.g <= t.lo AS low, p.g >= t.hi AS high FROM (SELECT d, round(g, 9) AS g FROM port) p CROSS JOIN (SELECT @pct(round(g, 9); 0.2) AS lo, @pct(round(g, 9); 0.8) AS hi FROM port) t",
     "regime_summary": f"SELECT regime, @n(count(*)) AS n, @r({_SHARPE.format('g')}) AS sharpe FROM (SELECT 'all' AS regime, g FROM port UNION ALL SELECT CASE WHEN v > m THEN 'busy' ELSE 'calm' END AS regime, p.g FROM port p JOIN (SELECT d, sum(volume) AS v FROM px GROUP BY d) x ON x.d = p.d CROSS JOIN (SELECT @pct(v; 0.5) AS m FROM (SELECT sum(volume) AS v FROM px GROUP BY d) y) z) u GROUP BY regime",
-    "stationary_bootstrap": """SELECT b, @r(avg(g)) AS mean FROM (SELECT b, (start + step) % n AS r FROM (SELECT b, k, (CAST(b AS BIGINT) * 1103515245 + k * 12345 + 7) % 2147483648 % n AS start, n, @seq(0; 9) AS step FROM (SELECT b, @seq(0; 35) AS k, n FROM (SELECT @seq(1; 40) AS b, n FROM (SELECT count(*) AS n FROM port) c) i) j) q) s
-  JOIN (SELECT row_number() OVER (ORDER BY d) - 1 AS r, g FROM port) p ON p.r = s.r GROUP BY b""",
     "sharpe_difference": f"SELECT @r(a.s - b.s) AS diff FROM (SELECT {_SHARPE.format('g')} AS s FROM capport) a CROSS JOIN (SELECT {_SHARPE.format('g')} AS s FROM port WHERE d IN (SELECT d FROM capport)) b",
-    "credit_attribution": "SELECT w, name, @r(influence) AS influence, @r(0.5e0 * influence / nullif(sum(influence) OVER (PARTITION BY w), 0e0)) AS credit FROM (SELECT w, src AS name, sum(abs(rho) / 8) AS influence FROM lagged WHERE rs = 'driver' AND rd = 'asset' GROUP BY 1, 2) x",
-    "ema_utility": "SELECT w, name, @r(sum(0.3e0 * power(0.7e0, w - p) * c)) AS u FROM (SELECT a.w, b.w AS p, a.name, b.abs_sum AS c FROM score a JOIN score b ON a.name = b.name AND b.w <= a.w) x GROUP BY 1, 2",
     "sensitivity_distance": "SELECT a.label AS a, b.label AS b, @r(sqrt(sum((a.s - b.s) * (a.s - b.s)))) AS dist FROM dims a JOIN dims b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2",
     "cosine_corr": "SELECT a, b, @r(c) AS rho, @r(sqrt(0.5e0 * greatest(1 - c, 0e0))) AS dist FROM (SELECT a.label AS a, b.label AS b, sum(a.s * b.s) / greatest(sqrt(sum(a.s * a.s) * sum(b.s * b.s)), 1e-12) AS c FROM dims a JOIN dims b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2) x",
     "distance_concentration": "SELECT @r(stddev_pop(dist) / avg(dist)) AS concentration FROM (SELECT sqrt(sum((a.s - b.s) * (a.s - b.s))) AS dist FROM dims a JOIN dims b ON a.i = b.i AND a.label < b.label GROUP BY a.label, b.label) x",
@@ -102,32 +75,22 @@ PORTFOLIO = {
 
 GRAPH = {
     "edge_threshold": "SELECT w, src, dst, @r(weight) AS weight FROM edges WHERE abs(weight) >= 0.2e0",
-    "graph_density": "SELECT w, @n(count(*)) AS n_edges, @r(count(*) / 156e0) AS density, @r(avg(abs(weight))) AS mean_weight FROM edges GROUP BY w",
-    "graph_distance": "SELECT coalesce(a.w, b.w + 1) AS w, @r(sqrt(sum(power(coalesce(a.weight, 0e0) - coalesce(b.weight, 0e0), 2)))) AS dist FROM edges a FULL OUTER JOIN edges b ON a.w = b.w + 1 AND a.src = b.src AND a.dst = b.dst GROUP BY 1",
-    "edge_jaccard": "SELECT coalesce(a.w, b.w + 1) AS w, @r(CAST(sum(CASE WHEN a.src IS NOT NULL AND b.src IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(*)) AS jaccard FROM edges a FULL OUTER JOIN edges b ON a.w = b.w + 1 AND a.src = b.src AND a.dst = b.dst GROUP BY 1",
-    "graph_compare": "SELECT w, @r(sqrt(sum(power(x - y, 2)))) AS frobenius, @r(CAST(sum(CASE WHEN x <> 0 AND y <> 0 AND sign(x) = sign(y) THEN 1 ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN x <> 0 AND y <> 0 THEN 1 ELSE 0 END), 0)) AS sign_agreement, @r(@corr(x; y)) AS weight_corr FROM (SELECT coalesce(a.w, b.w) AS w, coalesce(a.weight, 0e0) AS x, coalesce(b.rho, 0e0) AS y FROM edges a FULL OUTER JOIN (SELECT w, a AS src, b AS dst, round(rho, 6) AS rho FROM pairs WHERE abs(round(rho, 6)) >= 0.12e0) b ON a.w = b.w AND a.src = b.src AND a.dst = b.dst) z GROUP BY w",
     "regime_change_flags": "SELECT w, dist > avg(dist) OVER () + 1.5e0 * stddev_pop(dist) OVER () AS flagged FROM (SELECT a.w, sqrt(sum(power(a.rho - b.rho, 2))) AS dist FROM lagged a JOIN lagged b ON a.w = b.w + 1 AND a.src = b.src AND a.dst = b.dst GROUP BY a.w) x",
     "sector_flow": "SELECT e.w, a.sector AS sector_from, b.sector AS sector_to, @r(sum(abs(e.weight)) / max(p.n)) AS flow FROM edges e JOIN sectors a ON a.name = e.src JOIN sectors b ON b.name = e.dst JOIN (SELECT x.sector AS sf, y.sector AS st, count(*) AS n FROM sectors x JOIN sectors y ON x.name <> y.name GROUP BY 1, 2) p ON p.sf = a.sector AND p.st = b.sector GROUP BY 1, 2, 3",
     "kendall_drift": "SELECT a.w, @r(avg(CASE WHEN (a.k - b.k) * (c.k - e.k) > 0 THEN 1e0 ELSE -1e0 END)) AS tau FROM score a JOIN score b ON a.w = b.w AND a.name < b.name JOIN score c ON c.w = a.w - 1 AND c.name = a.name JOIN score e ON e.w = a.w - 1 AND e.name = b.name GROUP BY a.w",
-    "edge_probability": "SELECT src, dst, @r(avg(CASE WHEN abs(rho) > 0.12e0 THEN 1e0 ELSE 0e0 END)) AS prob FROM lagged WHERE src <> dst GROUP BY 1, 2",
     "direction_counts": "SELECT src, dst, sgn, n FROM (SELECT src, dst, CAST(sign(weight) AS INT) AS sgn, @n(count(*)) AS n FROM edges GROUP BY 1, 2, 3) x WHERE n >= 3",
     "dag_counts": "SELECT pattern, @n(count(*)) AS n FROM (SELECT w, @list(concat(src, '>', dst)) AS pattern FROM edges WHERE abs(weight) >= 0.2e0 GROUP BY w) x GROUP BY pattern",
     "common_edges": "SELECT src, dst, min(sgn) AS sgn FROM (SELECT src, dst, w, CAST(sign(weight) AS INT) AS sgn FROM edges) x GROUP BY 1, 2 HAVING count(*) >= 5 AND min(sgn) = max(sgn)",
-    "total_effect_summary": "SELECT src, dst, @r(avg(CASE WHEN weight <> 0 THEN 1e0 ELSE 0e0 END)) AS prob, @r(@pct(weight; 0.5)) AS median FROM edges GROUP BY 1, 2",
-    "total_effect_paths": "-- recursive\nWITH walk AS (SELECT src, dst, weight AS effect, 1 AS depth FROM dag UNION ALL SELECT p.src, e.dst, p.effect * e.weight, p.depth + 1 FROM walk p JOIN dag e ON p.dst = e.src WHERE p.depth < 12)\nSELECT src, dst, @r(sum(effect)) AS effect, @n(count(*)) AS paths FROM walk GROUP BY src, dst",
-    "distance_from_roots": "-- recursive\nWITH walk AS (SELECT DISTINCT d.src AS node, 0 AS depth FROM dag d LEFT JOIN dag p ON p.dst = d.src WHERE p.src IS NULL UNION ALL SELECT e.dst, p.depth + 1 FROM walk p JOIN dag e ON p.node = e.src WHERE p.depth < 12)\nSELECT node, max(depth) AS depth FROM walk GROUP BY node",
-    "markov_blanket": "SELECT node, other FROM (SELECT dst AS node, src AS other FROM dag UNION SELECT src, dst FROM dag UNION SELECT a.src, b.src FROM dag a JOIN dag b ON a.dst = b.dst WHERE a.src <> b.src) x",
-    "shd_accuracy": "SELECT w, @n(sum(CASE WHEN t.src IS NULL THEN 1 ELSE 0 END)) AS extra, @r(avg(CASE WHEN t.src IS NULL THEN 1e0 ELSE 0e0 END)) AS fdr FROM edges e LEFT JOIN dag t ON e.src = t.src AND e.dst = t.dst GROUP BY w",
     "block_slice": "SELECT w, rs, rd, @n(count(*)) AS n, @r(sum(abs(weight))) AS total FROM edges GROUP BY 1, 2, 3",
-    "pairwise_direction_score": "SELECT a, b, @r(avg(ln((exp(u) + exp(-u)) / 2)) - avg(ln((exp(t) + exp(-t)) / 2))) AS score FROM (SELECT a.w, a.name AS a, b.name AS b, (a.v - avg(a.v) OVER p) / stddev_pop(a.v) OVER p AS u, (b.v - avg(b.v) OVER p) / stddev_pop(b.v) OVER p AS t FROM rolled a JOIN rolled b ON a.w = b.w AND a.r = b.r AND a.name < b.name WHERE a.w = 0 WINDOW p AS (PARTITION BY a.w, a.name, b.name)) x GROUP BY a, b",
+    "pairwise_direction_score": "SELECT w, a, b, @r(avg(ln((exp(u) + exp(-u)) / 2)) - avg(ln((exp(t) + exp(-t)) / 2))) AS score FROM (SELECT a.w, a.name AS a, b.name AS b, (a.v - avg(a.v) OVER p) / stddev_pop(a.v) OVER p AS u, (b.v - avg(b.v) OVER p) / stddev_pop(b.v) OVER p AS t FROM rolled a JOIN rolled b ON a.w = b.w AND a.r = b.r AND a.name < b.name WINDOW p AS (PARTITION BY a.w, a.name, b.name)) x GROUP BY w, a, b",
 }
 
 BAYES = {
     "discretise_uniform": "SELECT least(@idiv((l_quantity - lo) * 4; (hi - lo)), 3) AS bin, @n(count(*)) AS n FROM lineitem CROSS JOIN (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem) t GROUP BY 1",
     "discretise_quantile": "SELECT CASE WHEN l_extendedprice < q1 THEN 0 WHEN l_extendedprice < q2 THEN 1 ELSE 2 END AS bin, @n(count(*)) AS n FROM lineitem CROSS JOIN (SELECT @pct(l_extendedprice; 0.333) AS q1, @pct(l_extendedprice; 0.667) AS q2 FROM lineitem) t GROUP BY 1",
     "discretise_outlier": "SELECT CASE WHEN l_extendedprice < q1 THEN 0 WHEN l_extendedprice < q2 THEN 1 ELSE 2 END AS bin, @n(count(*)) AS n FROM lineitem CROSS JOIN (SELECT @pct(l_extendedprice; 0.05) AS q1, @pct(l_extendedprice; 0.95) AS q2 FROM lineitem) t GROUP BY 1",
-    "discretise_fixed": "SELECT qty, disc, @n(count(*)) AS n FROM bn GROUP BY 1, 2",
-    "unique_row_counts": "SELECT flag, status, qty, disc, @n(count(*)) AS n FROM bn GROUP BY 1, 2, 3, 4",
+    "discretise_fixed": "SELECT qty, disc, @n(sum(n)) AS n FROM bn GROUP BY 1, 2",
+    "unique_row_counts": "SELECT flag, status, qty, disc, n FROM bn",
     "cpd_mle": "SELECT qty, disc, flag, @r(p) AS p FROM cpd",
     "cpd_k2": "SELECT qty, disc, flag, @r((n + 1e0) / (sum(n) OVER (PARTITION BY qty, disc) + count(*) OVER (PARTITION BY qty, disc))) AS p FROM cell",
     "cpd_bdeu": "SELECT qty, disc, flag, @r((n + 10e0 / 27) / (sum(n) OVER (PARTITION BY qty, disc) + 10e0 / 9)) AS p FROM cell",
@@ -140,19 +103,25 @@ BAYES = {
     "lewis_scores": "SELECT @r(greatest(0e0, least(1e0, sum((p2 - p0) * pc)))) AS nesuf FROM (SELECT d.disc, d.p AS pc, max(CASE WHEN c.qty = 2 THEN c.p END) AS p2, max(CASE WHEN c.qty = 0 THEN c.p END) AS p0 FROM cpd c JOIN (SELECT disc, sum(p) AS p FROM marg GROUP BY disc) d ON d.disc = c.disc WHERE c.flag = 'R' GROUP BY 1, 2) x",
 }
 
-#: Uniform numbers from a congruential hash of (id, node), the same in both engines.
-_U = "(((CAST(id AS BIGINT) * 1103515245 + {0}) % 2147483648 * 69069 + 12345) % 2147483648 + 0.5e0) / 2147483648e0"
+#: Uniform numbers from (id, node) by squaring modulo a prime, the same in both engines: x is what the step before left.
+_US = ["(CAST(id AS BIGINT) * 1103515245 + {0}) % 2147483647"] + ["(x{0} * x{0} + 12345) % 2147483647"] * 4
+
+
+def _scrambled(source: str, salts: dict[int, int]) -> str:
+    for step in _US:
+        source = "(SELECT id, " + ", ".join(f"{step.format(salts[k] if step is _US[0] else k)} AS x{k}" for k in salts) + f" FROM {source}) s"
+    return source
+
+
 _DRAW = """WITH qd AS (SELECT x AS qty, cum - p AS lo, cum AS hi FROM (SELECT qty AS x, sum(p) AS p, sum(sum(p)) OVER (ORDER BY qty) AS cum FROM marg GROUP BY qty) a),
 dd AS (SELECT x AS disc, cum - p AS lo, cum AS hi FROM (SELECT disc AS x, sum(p) AS p, sum(sum(p)) OVER (ORDER BY disc) AS cum FROM marg GROUP BY disc) a),
 fd AS (SELECT qty, disc, flag, cum - p AS lo, cum AS hi FROM (SELECT qty, disc, flag, p, sum(p) OVER (PARTITION BY qty, disc ORDER BY flag) AS cum FROM cpd) a),
 ids AS (SELECT @seq(1; 2000) AS id),
-us AS (SELECT id, """ + ", ".join(f"{_U.format(k * 7919)} AS u{k}" for k in (1, 2, 3)) + """ FROM ids),
+us AS (SELECT id, """ + ", ".join(f"(x{k} + 0.5e0) / 2147483647e0 AS u{k}" for k in (1, 2, 3)) + f" FROM {_scrambled('ids', {k: k * 7919 for k in (1, 2, 3)})}" + """),
 drawn AS (SELECT us.id, qd.qty, dd.disc, fd.flag FROM us JOIN qd ON u1 > qd.lo AND u1 <= qd.hi JOIN dd ON u2 > dd.lo AND u2 <= dd.hi JOIN fd ON fd.qty = qd.qty AND fd.disc = dd.disc AND u3 > fd.lo AND u3 <= fd.hi)
 """
-_WALK = "-- recursive\nWITH walk AS (SELECT w, src, dst, concat(src, '>', dst) AS path, weight AS effect, 1 AS depth FROM edges WHERE src < dst UNION ALL SELECT p.w, p.src, e.dst, concat(p.path, '>', e.dst), p.effect * e.weight, p.depth + 1 FROM walk p JOIN edges e ON p.w = e.w AND p.dst = e.src WHERE e.src < e.dst AND p.depth < 12)\n"
 
 MORE = {
-    "symbol_clean": "SELECT DISTINCT split_part(split_part(s_name, ' ', 1), '#', 1) AS symbol, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "inner_on_date": "SELECT x.d, x.name AS asset, y.name AS driver, @r(x.price) AS price, @r(y.price) AS level FROM px x JOIN raw y ON x.d = y.d",
     "full_outer_concat": "SELECT coalesce(a.d, b.d) AS d, @r(a.price) AS first_price, @r(b.price) AS second_price FROM (SELECT d, price FROM daily WHERE name = 'A0') a FULL OUTER JOIN (SELECT d, price FROM daily WHERE name = 'A1') b ON a.d = b.d",
     "month_end_last": "SELECT CAST(date_trunc('month', d) AS DATE) AS m, name, @r(max_by(price, d)) AS price FROM daily GROUP BY 1, 2",
@@ -161,22 +130,15 @@ MORE = {
     "semi_members": "SELECT x.d, x.name, @r(x.price) AS price FROM px x WHERE EXISTS (SELECT 1 FROM member m WHERE m.name = x.name AND m.q = CAST(date_trunc('quarter', x.d) AS DATE))",
     "anti_members": "SELECT DISTINCT x.q, x.name FROM quarterly x WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.name = x.name AND m.q = x.q)",
     "missing_names": "SELECT t.d, @list(n.name) AS missing FROM days t CROSS JOIN names n LEFT JOIN daily x ON x.d = t.d AND x.name = n.name WHERE x.name IS NULL GROUP BY t.d",
-    "trailing_window": "SELECT reb, name, @r(avg(v)) AS mean, @r(stddev_samp(v)) AS sd, @n(count(*)) AS n FROM (SELECT @seq(@idiv(r + 20; 21); @idiv(r + 51; 21)) AS reb, name, v FROM panel) x JOIN size s ON reb * 21 < s.n GROUP BY reb, name",
     "share_class_sum": "SELECT concat('A', CAST(l_suppkey % 8 AS STRING)) AS name, @r(sum(l_quantity)) AS shares FROM (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS k FROM lineitem) x WHERE k = 1 GROUP BY 1",
     "type_expansion": "SELECT o_orderstatus, sum(CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 1 ELSE 0 END) AS p1, sum(CASE WHEN substr(o_orderpriority, 1, 1) = '2' THEN 1 ELSE 0 END) AS p2, sum(CASE WHEN substr(o_orderpriority, 1, 1) NOT IN ('1', '2') THEN 1 ELSE 0 END) AS rest FROM orders GROUP BY 1",
-    "path_probability": _WALK + "SELECT path, @r(count(*) / max(t.n)) AS prob, @r(@pct(effect; 0.5)) AS effect FROM walk CROSS JOIN (SELECT CAST(count(DISTINCT w) AS DOUBLE) AS n FROM rolled) t GROUP BY path",
-    "path_total_effect": _WALK + "SELECT w, src, dst, @r(sum(effect)) AS effect, @n(count(*)) AS paths FROM walk GROUP BY w, src, dst",
-    "common_edge_across": "SELECT src, dst, @r(CASE WHEN count(*) < 3 THEN 0e0 ELSE exp(sum(ln(p))) END) AS prob FROM (SELECT e.w % 3 AS g, e.src, e.dst, CAST(count(*) AS DOUBLE) / max(t.n) AS p FROM edges e JOIN (SELECT w % 3 AS g, count(DISTINCT w) AS n FROM rolled GROUP BY 1) t ON t.g = e.w % 3 GROUP BY 1, 2, 3) x GROUP BY src, dst",
-    "exogenous_and_sinks": "SELECT node, min(has_parent) = 0 AS exogenous, min(has_child) = 0 AS sink FROM (SELECT node, max(p) AS has_parent, max(c) AS has_child FROM (SELECT src AS node, 0 AS p, 1 AS c FROM dag UNION ALL SELECT dst, 1, 0 FROM dag) x GROUP BY node) y GROUP BY node",
     "remove_effect": "SELECT y.r, y.name, @r(y.v - s.slope * x.v) AS residual FROM panel x JOIN panel y ON x.r = y.r AND x.name = 'D1' AND y.name <> 'D1' JOIN (SELECT b.name, covar_pop(a.v, b.v) / var_pop(a.v) AS slope FROM panel a JOIN panel b ON a.r = b.r AND a.name = 'D1' GROUP BY b.name) s ON s.name = y.name",
-    "intervention_effect": "-- recursive\nWITH walk AS (SELECT src, dst, weight AS effect, 1 AS depth FROM dag UNION ALL SELECT p.src, e.dst, p.effect * e.weight, p.depth + 1 FROM walk p JOIN dag e ON p.dst = e.src WHERE p.depth < 12)\nSELECT t.src, t.dst, @r(m.mean + s.sd * t.effect) AS raised, @r(m.mean - s.sd * t.effect) AS lowered FROM (SELECT src, dst, sum(effect) AS effect FROM walk GROUP BY src, dst) t JOIN (SELECT name, stddev_pop(v) AS sd FROM rolled WHERE w = 0 GROUP BY name) s ON s.name = t.src JOIN (SELECT name, avg(v) AS mean FROM rolled WHERE w = 0 GROUP BY name) m ON m.name = t.dst",
     "moment_tau": "SELECT a.w, a.name AS pa, b.name AS ch, @r(1e6 * abs(avg(a.v * a.v * a.v * b.v) * avg(a.v * a.v) - avg(a.v * a.v * a.v * a.v) * avg(a.v * b.v))) AS tau FROM rolled a JOIN rolled b ON a.w = b.w AND a.r = b.r AND a.name <> b.name GROUP BY 1, 2, 3",
     "bn_sample": _DRAW + "SELECT id, qty, disc, flag FROM drawn",
     "bn_sample_frequencies": _DRAW + "SELECT qty, disc, flag, @r(count(*) / 2000e0) AS freq FROM drawn GROUP BY 1, 2, 3",
     "bn_predict_incomplete": "SELECT qty, flag, @r(p) AS p FROM (SELECT qty, flag, p, row_number() OVER (PARTITION BY qty ORDER BY round(p, 9) DESC, flag) AS k FROM (SELECT c.qty, c.flag, sum(c.p * d.p) AS p FROM cpd c JOIN (SELECT disc, sum(p) AS p FROM marg GROUP BY disc) d ON d.disc = c.disc GROUP BY 1, 2) x) y WHERE k = 1",
-    "bn_classifier_accuracy": "SELECT @r(CAST(sum(CASE WHEN b.flag = p.flag THEN 1 ELSE 0 END) AS DOUBLE) / count(*)) AS accuracy FROM bn b JOIN (SELECT qty, disc, flag FROM (SELECT qty, disc, flag, row_number() OVER (PARTITION BY qty, disc ORDER BY round(p, 9) DESC, flag) AS k FROM cpd) x WHERE k = 1) p ON p.qty = b.qty AND p.disc = b.disc",
+    "bn_classifier_accuracy": "SELECT @r(CAST(sum(CASE WHEN b.flag = p.flag THEN b.n ELSE 0 END) AS DOUBLE) / sum(b.n)) AS accuracy FROM bn b JOIN (SELECT qty, disc, flag FROM (SELECT qty, disc, flag, row_number() OVER (PARTITION BY qty, disc ORDER BY round(p, 9) DESC, flag) AS k FROM cpd) x WHERE k = 1) p ON p.qty = b.qty AND p.disc = b.disc",
     "lewis_necessity_sufficiency": "SELECT @r(greatest(0e0, least(1e0, sum((p0n - p2n) * pc) / nullif(sum(p2 * pc), 0e0)))) AS nec, @r(greatest(0e0, least(1e0, sum((p2 - p0) * pc) / nullif(sum(p0n * pc), 0e0)))) AS suf FROM (SELECT d.disc, d.p AS pc, max(CASE WHEN c.qty = 2 AND c.flag = 'N' THEN c.p END) AS p2, max(CASE WHEN c.qty = 0 AND c.flag = 'N' THEN c.p END) AS p0, 1 - max(CASE WHEN c.qty = 2 AND c.flag = 'N' THEN c.p END) AS p2n, 1 - max(CASE WHEN c.qty = 0 AND c.flag = 'N' THEN c.p END) AS p0n FROM cpd c JOIN (SELECT disc, sum(p) AS p FROM marg GROUP BY disc) d ON d.disc = c.disc GROUP BY d.disc, d.p) x",
-    "mc_pvalues": "SELECT name, @r((count(CASE WHEN null_score >= score THEN 1 END) + 1e0) / (count(*) + 1)) AS p FROM (SELECT a.name, a.abs_sum AS score, b.abs_sum AS null_score FROM score a JOIN score b ON b.w > 0 WHERE a.w = 0) x GROUP BY name",
 }
 
-CATALOGUE = Catalogue(VIEWS, PANEL | UNIVERSE | SELECTION | PORTFOLIO | GRAPH | BAYES | MORE)
+CATALOGUE = Catalogue(VIEWS, PANEL | UNIVERSE | SELECTION | PORTFOLIO | GRAPH | BAYES | MORE, oracle.VIEWS, oracle.TEXTS, RUNS)

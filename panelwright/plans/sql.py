@@ -6,9 +6,12 @@ Only what the dialects spell differently is a macro: ``@name(a; b)``.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.store import settle
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 _MACROS = {
@@ -44,42 +47,117 @@ def render(text: str, engine: int) -> str:
                 args.append(text[start:i].strip())
                 start = i + 1
             i += 1
-        text = text[: m.start()] + _MACROS[m[1]][engine].format(*args) + text[i:]
+        # An argument is an expression of its own, whatever stands around its place.
+        text = text[: m.start()] + _MACROS[m[1]][engine].format(*(f"({a})" for a in args)) + text[i:]
     return text
 
 
+def _uses(text: str, name: str) -> int:
+    return len(re.findall(rf"\b(?:FROM|JOIN) {name}\b", text))
+
+
 class Catalogue:
-    """Named queries over common table expressions; a query brings along those it uses."""
+    """Named queries over common table expressions; a query brings along those it uses.
 
-    def __init__(self, views: dict[str, str], texts: dict[str, str]):
+    ``oracle_views`` and ``oracle_texts`` replace views and whole queries for the
+    SQL oracle, ``runs`` replaces texts for Spark by functions of ``Tables``.
+    """
+
+    def __init__(self, views: dict[str, str], texts: dict[str, str], oracle_views: dict[str, str] | None = None, oracle_texts: dict[str, str] | None = None, runs: dict | None = None):
         self.views, self.texts = views, texts
+        self.oracle_views, self.oracle_texts, self.runs = oracle_views or {}, oracle_texts or {}, runs or {}
 
-    def text(self, name: str, engine: int) -> str:
-        body, used, todo = self.texts[name], [], [self.texts[name]]
+    def text(self, body: str, engine: int, given: frozenset[str] = frozenset()) -> str:
+        """``body`` with the views it uses, but for those ``given`` as tables, rendered for an engine."""
+        views = self.views | self.oracle_views if engine else self.views
+        used, todo = [], [body]
         while todo:
-            words = set(re.findall(r"\b[a-z_0-9]+\b", todo.pop()))
-            for v in self.views:
-                if v in words and v not in used:
+            text = todo.pop()
+            for v in views:
+                if v not in used and _uses(text, v):
                     used.append(v)
-                    todo.append(self.views[v])
-        order = [v for v in self.views if v in used]
+                    todo += [] if v in given else [views[v]]
         recursive = "RECURSIVE " if "-- recursive" in body else ""
         body = body.replace("-- recursive", "").strip()
-        heads = ",\n".join(f"{v} AS ({self.views[v].strip()})" for v in order)
+        views = views | {v: f"SELECT * FROM {{{v}}}" for v in given}
+        heads = ",\n".join(f"{v} AS ({views[v].strip()})" for v in self._ordered(views, used))
         if body.upper().startswith("WITH "):
             body = body[5:]
             return render(f"WITH {recursive}" + (heads + ",\n" if heads else "") + body, engine)
         return render((f"WITH {recursive}" + heads + "\n" if heads else "") + body, engine)
 
+    @staticmethod
+    def _ordered(views: dict[str, str], used: list[str]) -> list[str]:
+        out: list[str] = []
+        while len(out) < len(used):
+            out += [v for v in views if v in used and v not in out and not any(_uses(views[v], u) for u in used if u not in out and u != v)]
+        return out
+
+    def repeated(self, body: str) -> list[str]:
+        """Views that the expanded query would compute more than once: those over base tables, and others from three times on."""
+        times: dict[str, int] = {}
+
+        def count(text: str, n: int) -> None:
+            for v in self.views:
+                if k := _uses(text, v):
+                    times[v] = times.get(v, 0) + n * k
+                    count(self.views[v], n * k)
+
+        count(body, 1)
+        return [v for v in self.views if times.get(v, 0) >= (2 if any(_uses(self.views[v], t) for t in TABLES) else 3)]
+
+    def frame(self, tables: Tables, body: str) -> DataFrame:
+        for v in self.repeated(body):
+            tables.kept(v)
+        given = tables.given()
+        text = self.text(body, 0, frozenset(given))
+        base = [t for t in TABLES if _uses(text, t)]
+        for name in base:
+            text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
+        return tables.spark.sql(text, **{t: tables.base(t) for t in base}, **{v: df for v, df in given.items() if f"{{{v}}}" in text})
+
     def run(self, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = self.text(name, 0)
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
-        for t in used:
-            text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
-        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+        tables = Tables(self, spark, sf_dir)
+        return self.runs[name](tables) if name in self.runs else self.frame(tables, self.texts[name])
 
     def queries(self) -> dict:
-        return {name: (lambda spark, sf_dir, name=name: self.run(name, spark, sf_dir)) for name in self.texts}
+        return {name: (lambda spark, sf_dir, name=name: self.run(name, spark, sf_dir)) for name in [*self.texts, *(n for n in self.runs if n not in self.texts)]}
 
     def oracle_sql(self) -> dict[str, str]:
-        return {name: self.text(name, 1) for name in self.texts}
+        return {name: self.text(body, 1) for name, body in (self.texts | self.oracle_texts).items()}
+
+
+class Tables:
+    """The shared views of one run; ``kept`` ones are computed once and written to the shared folder."""
+
+    def __init__(self, catalogue: Catalogue, spark: SparkSession, sf_dir: str):
+        self.catalogue, self.spark, self.sf_dir = catalogue, spark, sf_dir
+        self.run_id = uuid.uuid4().hex
+        self._base: dict[str, DataFrame] = {}
+        self._kept: dict[str, DataFrame] = {}
+
+    def base(self, name: str) -> DataFrame:
+        if name not in self._base:
+            self._base[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._base[name]
+
+    def given(self) -> dict[str, DataFrame]:
+        return dict(self._kept)
+
+    def give(self, name: str, df: DataFrame) -> None:
+        """``df`` in the place of a view, written to the shared folder."""
+        self._kept[name] = settle(df, name)
+
+    def rows(self, name: str = "cal") -> int:
+        return self.kept(name).count()
+
+    def view(self, name: str) -> DataFrame:
+        return self._kept[name] if name in self._kept else self.sql(f"SELECT * FROM {name}")
+
+    def kept(self, name: str) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = settle(self.view(name), name)
+        return self._kept[name]
+
+    def sql(self, body: str) -> DataFrame:
+        return self.catalogue.frame(self, body)

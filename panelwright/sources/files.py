@@ -31,3 +31,8 @@ def pending_windows(jobs: DataFrame, done: DataFrame) -> DataFrame:
 
 def write_windows(edges: DataFrame, path: str) -> None:
     edges.write.mode("append").partitionBy("w").parquet(path)
+
+
+def read_windows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A store of windows; one that holds none yet is empty."""
+    return spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(path)
