@@ -128,13 +128,19 @@ def pairwise_gain(x: np.ndarray) -> np.ndarray:
     return gain
 
 
-def causal_order(x: np.ndarray) -> list[int]:
-    """DirectLiNGAM: repeatedly take the variable most independent of the residuals of the others on it."""
+def causal_order(x: np.ndarray, known: np.ndarray | None = None) -> list[int]:
+    """DirectLiNGAM: repeatedly take the variable most independent of the residuals of the others on it.
+
+    ``known[i, j]`` is 1 where i is known to lead to j, 0 where it does not, -1
+    where nothing is known.  A variable with a known cause among those left has
+    to wait; if some are known to have none among them, one of these is taken.
+    """
     x = x - x.mean(0)
     left, order = list(range(x.shape[1])), []
     while len(left) > 1:
+        own = _may_lead(left, known)
         score = -(np.minimum(0, pairwise_gain(x[:, left])) ** 2).sum(1)
-        m = left[int(np.argmax(score))]
+        m = left[max(own, key=lambda k: (score[k], -k))]
         order.append(m)
         left.remove(m)
         slope = x[:, left].T @ x[:, m] / max(float(x[:, m] @ x[:, m]), 1e-12)
@@ -143,6 +149,32 @@ def causal_order(x: np.ndarray) -> list[int]:
     return order + left
 
 
+def _may_lead(left: list[int], known: np.ndarray | None) -> list[int]:
+    """Places in ``left`` of the variables that may come next."""
+    every = list(range(len(left)))
+    if known is None:
+        return every
+    causes = [[known[i, j] for i in left if i != j] for j in left]
+    free = [k for k in every if 1 not in causes[k]] or every
+    return [k for k in free if all(c == 0 for c in causes[k])] or free
+
+
+def prior_knowledge(names: list[str], exogenous: list[str] = (), sinks: list[str] = (), paths: list[tuple[str, str]] = (), no_paths: list[tuple[str, str]] = ()) -> np.ndarray:
+    """Matrix of -1 (unknown), 0 and 1 from variables without causes, without effects, and pairs (from, to)."""
+    at = {n: i for i, n in enumerate(names)}
+    out = np.full((len(names),) * 2, -1)
+    for a, b in no_paths:
+        out[at[a], at[b]] = 0
+    for a, b in paths:
+        out[at[a], at[b]] = 1
+    for n in exogenous:
+        out[:, at[n]] = 0
+    for n in sinks:
+        out[at[n], :] = 0
+    np.fill_diagonal(out, -1)
+    return out
+
+
 def lasso_path(gram: np.ndarray, xy: np.ndarray) -> list[tuple[float, np.ndarray]]:
     """(penalty, coefficients) at every knot of 1/2 b'Gb - xy'b + penalty |b|_1, from the largest penalty to 0."""
     k = len(xy)
@@ -204,37 +236,99 @@ def adaptive_lasso(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def direct_lingam(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    order = causal_order(x)
+def direct_lingam(x: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
+    """(B, order); effects that ``known`` rules out stay 0."""
+    order = causal_order(x, known)
     b = np.zeros((x.shape[1],) * 2)
     for k, j in enumerate(order):
-        b[order[:k], j] = adaptive_lasso(x[:, order[:k]], x[:, j])
+        use = [i for i in order[:k] if known is None or known[i, j] != 0]
+        b[use, j] = adaptive_lasso(x[:, use], x[:, j])
     return b, order
 
 
-def var_lingam(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(B0, B1, order): ridge VAR(1), DirectLiNGAM on its residuals, lagged effects through I - B0."""
-    x = x - x.mean(0)
-    past, now = x[:-1], x[1:]
-    m = np.linalg.solve(past.T @ past + np.eye(x.shape[1]), past.T @ now)
-    b0, order = direct_lingam(now - past @ m)
-    return b0, m @ (np.eye(len(b0)) - b0), order
+def lagged_blocks(x: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows from ``lags`` on, the ``lags`` rows before each side by side)."""
+    return x[lags:], np.hstack([x[lags - k : len(x) - k] for k in range(1, lags + 1)])
 
 
-def linkage_order(dist: np.ndarray) -> list[int]:
-    """Leaf order of single-linkage clustering; ties go to the smaller pair."""
-    clusters = {i: [i] for i in range(len(dist))}
-    while len(clusters) > 1:
-        keys = sorted(clusters)
-        a, b = min(((i, j) for x, i in enumerate(keys) for j in keys[x + 1 :]), key=lambda p: (dist[np.ix_(clusters[p[0]], clusters[p[1]])].min(), p))
-        clusters[keys[-1] + 1] = clusters.pop(a) + clusters.pop(b)
-    return next(iter(clusters.values()))
+def var_order(x: np.ndarray, most: int, criterion: str = "bic") -> int:
+    """Order 1..most of a vector autoregression with the least AIC, BIC, HQIC or FPE; ties go to the smaller."""
+    x = x - x.mean(0)
+    best = (math.inf, 1)
+    for p in range(1, most + 1):
+        now, past = lagged_blocks(x[most - p :], p)
+        n, k = now.shape
+        e = now - past @ np.linalg.lstsq(past, now, rcond=None)[0]
+        _, logdet = np.linalg.slogdet(e.T @ e / n)
+        free = p * k * k / n
+        value = {"aic": logdet + 2 * free, "bic": logdet + math.log(n) * free, "hqic": logdet + 2 * math.log(math.log(n)) * free, "fpe": logdet + k * math.log((n + p * k) / max(n - p * k, 1e-9))}[criterion]
+        best = min(best, (value, p))
+    return best[1]
+
+
+def var_lingam(x: np.ndarray, lags: int = 1, criterion: str | None = None, known: np.ndarray | None = None, ridge: float = 1.0, prune: bool = False, allowed: np.ndarray | None = None) -> tuple:
+    """(B0, B1, ..., order): ridge VAR, DirectLiNGAM on its residuals, lagged effects through I - B0.
+
+    With a ``criterion`` the order is searched up to ``lags``.  ``prune`` refits
+    each variable on its predecessors at t and all lags by the adaptive lasso.
+    ``allowed[i, j]`` masks the lagged i that the equation of j sees, and the
+    effects of i on j altogether.
+    """
+    x = x - x.mean(0)
+    d = x.shape[1]
+    p = var_order(x, lags, criterion) if criterion else lags
+    now, past = lagged_blocks(x, p)
+    m = np.zeros((p * d, d))
+    for j in range(d):
+        use = np.arange(p * d) if allowed is None else np.flatnonzero(np.tile(allowed[:, j], p))
+        m[use, j] = np.linalg.solve(past[:, use].T @ past[:, use] + ridge * np.eye(len(use)), past[:, use].T @ now[:, j])
+    b0, order = direct_lingam(now - past @ m, known)
+    out = [b0, *(m[k * d : (k + 1) * d] @ (np.eye(d) - b0) for k in range(p))]
+    if prune:
+        for k, j in enumerate(order):
+            before = [i for i in order[:k] if known is None or known[i, j] != 0]
+            use = np.arange(p * d) if allowed is None else np.flatnonzero(np.tile(allowed[:, j], p))
+            b = adaptive_lasso(np.hstack([now[:, before], past[:, use]]), now[:, j])
+            out[0][:, j] = 0
+            out[0][before, j] = b[: len(before)]
+            column = np.zeros(p * d)
+            column[use] = b[len(before) :]
+            for lag in range(p):
+                out[lag + 1][:, j] = column[lag * d : (lag + 1) * d]
+    if allowed is not None:
+        out = [np.where(allowed, b, 0) for b in out]
+    return (*out, order)
+
+
+def threshold_till_acyclic(w: np.ndarray) -> np.ndarray:
+    """Zero the weakest edge of all until there is no cycle."""
+    w = w.copy()
+    while find_cycle(w != 0) is not None:
+        w[np.abs(w) == np.abs(w[w != 0]).min()] = 0
+    return w
 
 
-def hierarchical_weights(cov: np.ndarray, dist: np.ndarray) -> np.ndarray:
+def linkage_order(dist: np.ndarray, method: str = "single") -> list[int]:
+    """Leaf order of a ``single``, ``average``, ``complete`` or ``ward`` clustering (Lance and Williams); ties go to the smaller pair."""
+    n = len(dist)
+    d = {(i, j): float(dist[i, j]) ** (2 if method == "ward" else 1) for i in range(n) for j in range(i + 1, n)}
+    leaves, size, fresh = {i: [i] for i in range(n)}, dict.fromkeys(range(n), 1), n
+    while len(leaves) > 1:
+        a, b = min(d, key=lambda p: (d[p], p))
+        near = d.pop((a, b))
+        na, nb = size.pop(a), size.pop(b)
+        for k in [k for k in leaves if k not in (a, b)]:
+            x, y, nk = d.pop((min(a, k), max(a, k))), d.pop((min(b, k), max(b, k))), size[k]
+            d[k, fresh] = {"single": min(x, y), "complete": max(x, y), "average": (na * x + nb * y) / (na + nb), "ward": ((na + nk) * x + (nb + nk) * y - nk * near) / (na + nb + nk)}[method]
+        leaves[fresh], size[fresh] = leaves.pop(a) + leaves.pop(b), na + nb
+        fresh += 1
+    return next(iter(leaves.values()))
+
+
+def hierarchical_weights(cov: np.ndarray, dist: np.ndarray, method: str = "single") -> np.ndarray:
     """Recursive bisection of the leaf order, each half weighed by the other's inverse-variance cluster variance."""
     w = np.ones(len(cov))
-    stack = [linkage_order(dist)]
+    stack = [linkage_order(dist, method)]
     while stack:
         items = stack.pop()
         if len(items) < 2:
@@ -253,6 +347,49 @@ def hierarchical_weights(cov: np.ndarray, dist: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
+def nearest_psd(m: np.ndarray, floor: float = 1e-10) -> np.ndarray:
+    """Symmetric part with eigenvalues raised to ``floor``."""
+    value, vector = np.linalg.eigh((m + m.T) / 2)
+    return (vector * np.maximum(value, floor)) @ vector.T
+
+
+def causal_distance(effects: np.ndarray) -> np.ndarray:
+    """Euclidean distance between variables embedded by their outgoing and incoming effects."""
+    z = np.hstack([effects, effects.T])
+    return np.sqrt(np.maximum(((z[:, None] - z[None, :]) ** 2).sum(-1), 0))
+
+
+def structural_covariance(effects: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """(I - M')^-1 S (I - M')^-T of errors with covariance S; effects[i, j] is i on j."""
+    a = np.linalg.pinv(np.eye(len(effects)) - effects.T)
+    return a @ cov @ a.T
+
+
+def effective_dimension(s: np.ndarray, share: float = 0.95) -> int:
+    """Principal components that hold ``share`` of the variance of the columns' profiles; 0 without any."""
+    x = s.T - s.T.mean(0)
+    v = np.linalg.svd(x, compute_uv=False) ** 2
+    return 0 if v.sum() <= 0 else int(np.searchsorted(np.cumsum(v) / v.sum(), share - 1e-12) + 1)
+
+
+def knee(scores: np.ndarray) -> int:
+    """Place (from 1) of the falling curve's farthest point from its chord; 1 for a flat curve."""
+    y = np.sort(scores)[::-1]
+    if len(y) < 2 or y[0] - y[-1] <= 0:
+        return 1
+    return int(np.argmax(np.round(np.abs(np.linspace(0, 1, len(y)) + (y - y[-1]) / (y[0] - y[-1]) - 1), 12))) + 1
+
+
+def calibrate_k(real: np.ndarray, null: np.ndarray, quantile: float = 0.95) -> tuple[int, int, int, list[int]]:
+    """(K of the knee, K above the null, K, sweep): the null's threshold is a quantile of each replicate's largest score."""
+    pool = len(real)
+    by_knee = knee(real)
+    by_null = int((real > np.quantile(null.max(1), quantile)).sum()) if len(null) else 0
+    k = int(np.clip(max(by_knee, by_null), 1, max(pool, 1)))
+    ends = [max(1, -(-k // 2)), k, max(1, min(2 * k, pool // 2))]
+    return by_knee, by_null, k, sorted({*ends, (ends[0] + ends[1]) // 2, (ends[1] + ends[2]) // 2})
+
+
 def onto_simplex(v: np.ndarray) -> np.ndarray:
     u = np.sort(v)[::-1]
     c = np.cumsum(u) - 1
@@ -260,14 +397,25 @@ def onto_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - c[k] / (k + 1), 0)
 
 
-def simplex_weights(cov: np.ndarray, mean: np.ndarray | None = None, gamma: float = 1.0) -> np.ndarray:
-    """Long-only weights minimising gamma w'Cw - mean'w: accelerated projected gradient."""
+def onto_capped_simplex(v: np.ndarray, cap: float) -> np.ndarray:
+    """The nearest point with parts in [0, cap] that sum to 1, by bisection on the shift; a cap below 1/n is 1/n."""
+    cap = max(cap, 1 / len(v))
+    lo, hi = v.min() - 1, v.max()
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if np.clip(v - mid, 0, cap).sum() > 1 else (lo, mid)
+    return np.clip(v - (lo + hi) / 2, 0, cap)
+
+
+def simplex_weights(cov: np.ndarray, mean: np.ndarray | None = None, gamma: float = 1.0, cap: float | None = None) -> np.ndarray:
+    """Long-only weights, none above ``cap``, minimising gamma w'Cw - mean'w: accelerated projected gradient."""
     mean = np.zeros(len(cov)) if mean is None else mean
     step = 1 / max(2 * gamma * np.linalg.norm(cov, 2), 1e-12)
     w = v = np.full(len(cov), 1 / len(cov))
     t = 1.0
     for _ in range(5000):
-        new = onto_simplex(v - step * (2 * gamma * cov @ v - mean))
+        moved = v - step * (2 * gamma * cov @ v - mean)
+        new = onto_simplex(moved) if cap is None else onto_capped_simplex(moved, cap)
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v = new + (t - 1) / t_new * (new - w)
         if np.abs(new - w).max() < 1e-12:
@@ -314,25 +462,58 @@ def greedy_drivers(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1.0) ->
     return out
 
 
-def adf_statistic(x: np.ndarray, lags: int = 1) -> float:
-    """t statistic of the level in a Dickey-Fuller regression with constant; nan below 20 rows."""
-    if len(x) < 20:
-        return float("nan")
+def _adf(x: np.ndarray, lags: int, first: int) -> tuple[float, float]:
+    """(t statistic of the level, AIC) of a Dickey-Fuller regression with constant on the differences from ``first`` on."""
     dx = np.diff(x)
-    y = dx[lags:]
-    z = np.column_stack([x[lags:-1], *(dx[lags - k : len(dx) - k] for k in range(1, lags + 1)), np.ones(len(y))])
+    y = dx[first:]
+    z = np.column_stack([x[first:-1], *(dx[first - k : len(dx) - k] for k in range(1, lags + 1)), np.ones(len(y))])
     b, *_ = np.linalg.lstsq(z, y, rcond=None)
     e = y - z @ b
-    return float(b[0] / math.sqrt(e @ e / (len(y) - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0]))
+    rss = float(e @ e)
+    if rss <= 0 or len(y) <= z.shape[1]:
+        return float("nan"), math.inf
+    return float(b[0] / math.sqrt(rss / (len(y) - z.shape[1]) * np.linalg.pinv(z.T @ z)[0, 0])), len(y) * math.log(rss / len(y)) + 2 * z.shape[1]
 
 
-def kpss_statistic(x: np.ndarray) -> float:
-    """Level-stationarity statistic with Bartlett weights."""
+def adf_test(x: np.ndarray, most: int | None = None) -> tuple[float, float, int]:
+    """(statistic, p, lags) with the lags of least AIC; nan below 20 rows and for a constant.
+
+    The p-value is MacKinnon's (1994) response surface for a regression with constant.
+    """
+    nothing = float("nan"), float("nan"), 0
+    x = x[np.isfinite(x)]
+    if len(x) < 20 or np.ptp(x) == 0:
+        return nothing
+    most = min(math.ceil(12 * (len(x) / 100) ** 0.25), len(x) // 2 - 2) if most is None else most
+    lags = min(range(most + 1), key=lambda k: (_adf(x, k, most)[1], k))
+    t = _adf(x, lags, lags)[0]
+    # MacKinnon's coefficients, and where they hold.
+    low, high, joint = -18.83, 2.74, -1.61
+    small, large = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+    if not math.isfinite(t):
+        return nothing
+    if t > high or t < low:
+        return t, float(t > high), lags
+    z = sum(c * t**k for k, c in enumerate(small if t <= joint else large))
+    return t, 0.5 * math.erfc(-z / math.sqrt(2)), lags
+
+
+def kpss_test(x: np.ndarray) -> tuple[float, float, int]:
+    """(statistic, p, lags) of level stationarity, lags by Hobijn's rule; p from the published table, so within [0.01, 0.1]."""
+    x = x[np.isfinite(x)]
+    n = len(x)
+    if n < 20 or np.ptp(x) == 0:
+        return float("nan"), float("nan"), 0
     e = x - x.mean()
-    n = len(e)
-    lags = int(np.ceil(12 * (n / 100) ** 0.25))
-    s = float(e @ e) / n + 2 * sum((1 - k / (lags + 1)) * float(e[k:] @ e[:-k]) / n for k in range(1, min(lags, n - 1) + 1))
-    return float((np.cumsum(e) ** 2).sum() / (n * n * s)) if s > 0 else float("nan")
+    s0, s1 = float(e @ e) / n, 0.0
+    for k in range(1, int(n ** (2 / 9)) + 1):
+        c = 2 * float(e[k:] @ e[:-k]) / n
+        s0, s1 = s0 + c, s1 + k * c
+    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
+    long_run = float(e @ e) / n + 2 * sum((1 - k / (lags + 1)) * float(e[k:] @ e[:-k]) / n for k in range(1, lags + 1))
+    stat = float((np.cumsum(e) ** 2).sum() / (n * n * long_run)) if long_run > 0 else float("nan")
+    # Critical values of the statistic at these levels.
+    return stat, float(np.interp(stat, (0.347, 0.463, 0.574, 0.739), (0.10, 0.05, 0.025, 0.01))), lags
 
 
 def _gram(x: np.ndarray) -> np.ndarray:

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels, neural
 from ..plans.fixtures import STEP
-from .discovery import is_asset
+from .discovery import causal_scores, is_asset
 from .windows import panel, per_window
 
 FITTED = "w long, drivers array<string>, assets array<string>, x array<double>, plain array<double>, causal array<double>, s array<double>"
 RESULT = "variant string, w long, drivers string, gross double, turnover double, net double, reward double"
 #: Windows in which the causal score stands alone, drivers held, weight of the causal score, memory of the utility, cost.
-BURN_IN, K, ALPHA, GAMMA, BPS = 6, 3, 0.7, 0.3, 5.0
+BURN_IN, K, ALPHA, GAMMA, BPS = 6, 2, 0.7, 0.3, 5.0
 
 
 def zscore(v: np.ndarray) -> np.ndarray:
@@ -31,16 +31,10 @@ def zscore(v: np.ndarray) -> np.ndarray:
 def fit(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
     """A window's driver scores (correlation, causal) and sensitivities, with its rows for the fold; none if it has too few."""
     a = is_asset(names)
-    d = len(names)
     if len(x) < neural.MIN_ROWS + 1 or a.all() or a.sum() < 2:
         return pd.DataFrame(columns=["w", "drivers", "assets", "x", "plain", "causal", "s"])
     z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
-    both = np.hstack([z[1:], z[:-1]])
-    block = np.outer(a, ~a)
-    _, lagged, _ = kernels.dynamic_graph(both.T @ both / len(both), d, np.vstack([block | np.eye(d, dtype=bool), block]), max_rounds=8)
-    effect = np.abs(lagged[np.ix_(~a, a)])
-    found = effect[effect > 0]
-    causal = np.where(effect >= np.quantile(found, 0.9), effect, 0).sum(1) if len(found) else np.zeros(effect.shape[0])
+    causal = causal_scores(x, names, 8)
     plain = np.abs(z[:, ~a].T @ z[:, a] / len(z)).sum(1) + np.abs(z[:-1, ~a].T @ z[1:, a] / (len(z) - 1)).sum(1)
     s = neural.sensitivities(z[:, ~a], z[:, a])
     keep = np.concatenate([np.flatnonzero(~a), np.flatnonzero(a)])

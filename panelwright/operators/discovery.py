@@ -119,7 +119,7 @@ def bootstrap(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) ->
     rolled = panel(spark, sf_dir).select("w", "r", "name", "v").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="r", columns="name", values="v").sort_index().dropna()
+        wide = pdf.pivot_table(index="r", columns="name", values="v").sort_index().dropna()
         if len(wide) < ROWS_PER_SERIES * wide.shape[1]:
             return pd.DataFrame(columns=["w", "lag", "src", "dst", "weight"])
         w, rep = int(pdf["w"].iloc[0]), int(pdf["rep"].iloc[0])
@@ -162,6 +162,73 @@ def permutation_null(spark: SparkSession, sf_dir: str, replicates: int = REPLICA
     return per_window(panel(spark, sf_dir), kernel, "w long, name string, score double, threshold double, p double, selected boolean")
 
 
+def causal_scores(x: np.ndarray, names: list[str], max_rounds: int = 20) -> np.ndarray:
+    """Stage-A scores of the drivers from a graph fitted to the window: lagged effects on assets at or above their 90 % point."""
+    a, d = is_asset(names), len(names)
+    z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
+    both = np.hstack([z[1:], z[:-1]])
+    block = np.outer(a, ~a)
+    _, lagged, _ = kernels.dynamic_graph(both.T @ both / len(both), d, np.vstack([block | np.eye(d, dtype=bool), block]), max_rounds=max_rounds)
+    effect = np.abs(lagged[np.ix_(~a, a)])
+    found = effect[effect > 0]
+    return np.where(effect >= np.quantile(found, 0.9), effect, 0).sum(1) if len(found) else np.zeros(effect.shape[0])
+
+
+def refitted_null(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES, max_rounds: int = 8) -> DataFrame:
+    """(w, rep, scores): stage-A scores of every window, and of ``replicates`` refits with each driver shuffled by itself; rep 0 is the real one.
+
+    One small task a window and replicate; a fit that fails scores 0.
+    """
+    rows = panel(spark, sf_dir).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="r", columns="name", values="v").sort_index().dropna()
+        names, x = list(wide.columns), wide.to_numpy()
+        if len(wide) < ROWS_PER_SERIES * wide.shape[1]:
+            return pd.DataFrame(columns=["w", "rep", "scores"])
+        w, rep = int(pdf["w"].iloc[0]), int(pdf["rep"].iloc[0])
+        a = is_asset(names)
+        if rep:
+            x = x.copy()
+            x[:, ~a] = np.random.default_rng(w * 100_003 + rep).permuted(x[:, ~a], axis=0)
+        try:
+            scores = causal_scores(x, names, max_rounds)
+        except np.linalg.LinAlgError:
+            scores = np.zeros(int((~a).sum()))
+        return pd.DataFrame({"w": [w], "rep": [rep], "scores": [scores]})
+
+    return rows.groupBy("w", "rep").applyInPandas(run, "w long, rep long, scores array<double>")
+
+
+def calibrated(null: DataFrame) -> DataFrame:
+    """(w, k_knee, k_null, k, sweep) from ``refitted_null``; a group is one window's replicates."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        scores = np.stack(pdf["scores"].to_list())
+        by_knee, by_null, k, sweep = kernels.calibrate_k(scores[0], scores[1:])
+        return pd.DataFrame({"w": [int(pdf["w"].iloc[0])], "k_knee": [by_knee], "k_null": [by_null], "k": [k], "sweep": [sweep]})
+
+    return null.groupBy("w").applyInPandas(run, "w long, k_knee long, k_null long, k long, sweep array<long>")
+
+
+def dependence_summary(p_values: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(w, rejection_rate, min_p, median_p, n, warn) of pairwise p-values; ``warn`` above a rate of 0.2."""
+    rate = F.avg(F.when(F.col("p") < alpha, 1.0).otherwise(0.0))
+    known = p_values.filter(~F.isnan("p") & F.col("p").isNotNull())
+    return known.groupBy("w").agg(rate.alias("rejection_rate"), F.min("p").alias("min_p"), F.percentile("p", F.lit(0.5)).alias("median_p"), F.count(F.lit(1)).alias("n"), (rate > 0.2).alias("warn"))
+
+
+def dimensions(sensitivities: DataFrame) -> DataFrame:
+    """(w, dimension): principal components that hold 95 % of a window's sensitivities (w, driver, asset, s)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = pdf.pivot_table(index="driver", columns="asset", values="s").to_numpy()
+        return pd.DataFrame({"w": [int(pdf["w"].iloc[0])], "dimension": [kernels.effective_dimension(s)]})
+
+    return sensitivities.groupBy("w").applyInPandas(run, "w long, dimension long")
+
+
 def shared_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effects of each of three consecutive regimes under one causal order, for every window."""
 
@@ -229,6 +296,9 @@ def queries() -> dict:
         "causal_order": plain(_order, "w long, position long, name string"),
         "var_lag_order": plain(_lags, "w long, lags long"),
         "error_independence": plain(_errors, pair),
+        "hsic_panel_summary": lambda spark, sf_dir: dependence_summary(plain(_errors, pair)(spark, sf_dir)),
+        "calibrate_k": lambda spark, sf_dir: calibrated(refitted_null(spark, sf_dir)),
+        "effective_dimension": lambda spark, sf_dir: dimensions(plain(_sensitivities, "w long, driver string, asset string, s double")(spark, sf_dir)),
         "intervention_means": plain(_effects, "w long, cause string, target string, raised double, lowered double"),
         "penalty_grid": plain(_split_error, "w long, penalty double, error double, chosen boolean"),
         "largest_subgraph": lambda spark, sf_dir: largest_subgraphs(lingam(spark, sf_dir)),

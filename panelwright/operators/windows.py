@@ -7,11 +7,13 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..plans.catalogue import CATALOGUE
 from ..plans.runs import rolled
 from ..plans.sql import Tables
+from ..sources.store import settle
 
 #: Complete rows a window needs for each of its series; a thinner window gives no result rows.
 ROWS_PER_SERIES = 2
@@ -56,30 +58,61 @@ def _fit_dynamic(lags: int, threshold: float):
 
 
 def _fit_var_lingam(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
-    b0, b1, _ = kernels.var_lingam(x)
-    return _tall(w, names, (0, b0), (1, np.where(np.abs(b1) < 0.01, 0, b1)))
+    *b, _ = kernels.var_lingam(x, 2, "bic", prune=True)
+    return _tall(w, names, *enumerate(b))
+
+
+def _fit_joint_var_lingam(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
+    """Assets lead to no driver: not in the regression, not in the order, not in the effects."""
+    asset = np.array([n.startswith("A") for n in names])
+    block = np.outer(asset, ~asset)
+    *b, _ = kernels.var_lingam(x, 1, known=np.where(block, 0, -1), allowed=~block)
+    return _tall(w, names, *enumerate(b))
 
 
 def _fit_lingam(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
     return _tall(w, names, (0, kernels.direct_lingam(x)[0]))
 
 
-def _weights(method: str):
+def _weights(method: str, linkage: str = "single", cap: float | None = None):
     def kernel(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
         assets = [i for i, n in enumerate(names) if n.startswith("A")]
         x = x[:, assets]
         cov = kernels.shrunk_covariance(x) if method.endswith("shrunk") else np.cov(x.T)
-        if method.startswith("hrp"):
-            out = kernels.hierarchical_weights(cov, np.sqrt(np.maximum(0.5 * (1 - np.corrcoef(x.T)), 0)))
+        if method == "causal":
+            effects = kernels.direct_lingam(x)[0]
+            out = kernels.hierarchical_weights(kernels.nearest_psd(kernels.structural_covariance(effects, np.diag(np.diag(cov)))), kernels.causal_distance(effects), linkage)
+        elif method.startswith("hrp"):
+            out = kernels.hierarchical_weights(cov, np.sqrt(np.maximum(0.5 * (1 - np.corrcoef(x.T)), 0)), linkage)
         else:
-            out = kernels.simplex_weights(cov, x.mean(0) if method == "mean_variance" else None, 5.0)
+            out = kernels.simplex_weights(cov, x.mean(0) if method == "mean_variance" else None, 5.0, cap)
         return pd.DataFrame({"w": w, "name": [names[i] for i in assets], "weight": out})
 
     return kernel
 
 
+def compare_weights(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(w, distance, overlap): half the absolute difference of two weight tables (w, name, weight), and the sum of the smaller ones."""
+    both = first.select("w", "name", F.col("weight").alias("x")).join(second.select("w", "name", F.col("weight").alias("y")), ["w", "name"], "full").na.fill(0.0, ["x", "y"])
+    return both.groupBy("w").agg((0.5 * F.sum(F.abs(F.col("x") - F.col("y")))).alias("distance"), F.sum(F.least("x", "y")).alias("overlap"))
+
+
 def _stationarity(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"w": w, "name": names, "adf": [kernels.adf_statistic(c) for c in x.T], "kpss": [kernels.kpss_statistic(c) for c in x.T]})
+    adf, kpss = [kernels.adf_test(c) for c in x.T], [kernels.kpss_test(c) for c in x.T]
+    out = {"w": w, "name": names, "adf": [t[0] for t in adf], "adf_p": [t[1] for t in adf], "adf_lags": [t[2] for t in adf], "kpss": [t[0] for t in kpss], "kpss_p": [t[1] for t in kpss]}
+    return pd.DataFrame(out).assign(both_fail=[a[1] >= 0.05 and k[1] < 0.05 for a, k in zip(adf, kpss, strict=True)])
+
+
+def stationary(series: DataFrame, alpha: float = 0.01, key: str = "name", at: str = "r", value: str = "v") -> DataFrame:
+    """``series`` without those whose ADF p-value is ``alpha`` or more, or not defined; a group is one series."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = kernels.adf_test(pdf.sort_values(at)[value].dropna().to_numpy(float))[1]
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "p": [p]})
+
+    kind = series.schema[key].dataType.simpleString()
+    kept = series.select(key, at, value).groupBy(key).applyInPandas(run, f"`{key}` {kind}, p double").filter(f"p < {alpha}")
+    return series.join(F.broadcast(kept.select(key)), key, "left_semi")
 
 
 def _greedy(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
@@ -114,6 +147,14 @@ def queries() -> dict:
         "min_variance": _query(_weights("min_variance"), weights),
         "mean_variance": _query(_weights("mean_variance"), weights),
         "stage_b_greedy": _query(_greedy, "w long, step long, name string, gain double"),
-        "adf_kpss": _query(_stationarity, "w long, name string, adf double, kpss double"),
+        "hrp_average": _query(_weights("hrp", "average"), weights),
+        "hrp_complete": _query(_weights("hrp", "complete"), weights),
+        "hrp_ward": _query(_weights("hrp", "ward"), weights),
+        "hrp_causal": _query(_weights("causal"), weights),
+        "min_variance_capped": _query(_weights("min_variance", cap=0.2), weights),
+        "compare_hrp": lambda spark, sf_dir: compare_weights(*(per_window(settle(panel(spark, sf_dir), "rolled"), _weights(m), weights) for m in ("hrp", "causal"))),
+        "joint_varlingam": _query(_fit_joint_var_lingam, EDGES),
+        "adf_kpss": _query(_stationarity, "w long, name string, adf double, adf_p double, adf_lags long, kpss double, kpss_p double, both_fail boolean"),
+        "stationary_series": lambda spark, sf_dir: stationary(Tables(CATALOGUE, spark, sf_dir).kept("panel")).groupBy("name").agg(F.count(F.lit(1)).alias("n")),
         "hsic_pairs": _query(_dependence, "w long, a string, b string, hsic double"),
     }

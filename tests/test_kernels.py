@@ -44,12 +44,6 @@ def test_expm_of_a_rotation():
     assert np.allclose(k.expm(a), [[np.cos(1), -np.sin(1)], [np.sin(1), np.cos(1)]])
 
 
-def test_unit_root_statistics():
-    e = np.random.default_rng(1).normal(size=800)
-    assert k.adf_statistic(e) < -10 < k.adf_statistic(np.cumsum(e))
-    assert k.kpss_statistic(np.cumsum(e)) > 0.463 > k.kpss_statistic(e)
-
-
 def test_lasso_path_meets_the_optimality_conditions():
     rng = np.random.default_rng(4)
     for d in (1, 3, 8):
