@@ -20,7 +20,9 @@ from .windows import panel, per_window
 FITTED = "w long, drivers array<string>, assets array<string>, x array<double>, plain array<double>, causal array<double>, s array<double>"
 RESULT = "variant string, w long, drivers string, gross double, turnover double, net double, reward double"
 #: Windows in which the causal score stands alone, drivers held, weight of the causal score, memory of the utility, cost.
-BURN_IN, K, ALPHA, GAMMA, BPS = 6, 2, 0.7, 0.3, 5.0
+BURN_IN, K, ALPHA, GAMMA, BPS = 6, 1, 0.7, 0.3, 5.0
+#: With five drivers the top tenth of the effects would leave two of them, and the blend nothing to choose.
+QUANTILE = 0.5
 
 
 def zscore(v: np.ndarray) -> np.ndarray:
@@ -34,7 +36,7 @@ def fit(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
     if len(x) < neural.MIN_ROWS + 1 or a.all() or a.sum() < 2:
         return pd.DataFrame(columns=["w", "drivers", "assets", "x", "plain", "causal", "s"])
     z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
-    causal = causal_scores(x, names, 8)
+    causal = causal_scores(x, names, 8, QUANTILE)
     plain = np.abs(z[:, ~a].T @ z[:, a] / len(z)).sum(1) + np.abs(z[:-1, ~a].T @ z[1:, a] / (len(z) - 1)).sum(1)
     s = neural.sensitivities(z[:, ~a], z[:, a])
     keep = np.concatenate([np.flatnonzero(~a), np.flatnonzero(a)])
@@ -45,10 +47,11 @@ def _sharpe(v: np.ndarray) -> float:
     return 0.0 if len(v) == 0 or v.std() < 1e-12 else float(np.sqrt(52) * v.mean() / v.std())
 
 
-def fold(variant: str, fitted: pd.DataFrame, step: int = STEP) -> pd.DataFrame:
+def fold(variant: str, fitted: pd.DataFrame, step: int = STEP, held_drivers: int = K, burn_in: int = BURN_IN) -> pd.DataFrame:
     """Windows in order: pick drivers, weigh assets, hold to the next window's end, credit the drivers.
 
-    ``v0`` scores by correlation, ``v1`` by the graph, ``v2`` blends the graph
+    The pool has twice as many drivers as are held, so the blend matters only
+    where more than that score.  ``v0`` scores by correlation, ``v1`` by the graph, ``v2`` blends the graph
     with the utility of earlier credits.  A window's credit is known only once
     the next one has closed, so it first counts in the window after that.
     """
@@ -63,15 +66,15 @@ def fold(variant: str, fitted: pd.DataFrame, step: int = STEP) -> pd.DataFrame:
         s = np.asarray(now["s"]).reshape(len(drivers), -1)
         base = np.asarray(now["plain" if variant == "v0" else "causal"], float)
         blended = base
-        if variant == "v2" and k >= BURN_IN:
+        if variant == "v2" and k >= burn_in:
             blended = ALPHA * zscore(base) + (1 - ALPHA) * zscore(np.array([utility.get(n, 0.0) for n in drivers]))
         ranked = sorted((i for i in range(len(drivers)) if base[i] > 0), key=lambda i: (-blended[i], drivers[i]))
         if variant == "v0":
-            chosen = ranked[:K]
+            chosen = ranked[:held_drivers]
         else:
-            pool = ranked[: 2 * K]
-            picked = kernels.greedy_drivers(x[:-1][:, pool], x[1:][:, len(drivers) :], K) if pool else []
-            chosen = [pool[j] for j, _ in picked] or pool[:K]
+            pool = ranked[: 2 * held_drivers]
+            picked = kernels.greedy_drivers(x[:-1][:, pool], x[1:][:, len(drivers) :], held_drivers) if pool else []
+            chosen = [pool[j] for j, _ in picked] or pool[:held_drivers]
         returns = x[:, len(drivers) :]
         cov = np.cov(returns.T)
         if chosen:

@@ -162,8 +162,8 @@ def permutation_null(spark: SparkSession, sf_dir: str, replicates: int = REPLICA
     return per_window(panel(spark, sf_dir), kernel, "w long, name string, score double, threshold double, p double, selected boolean")
 
 
-def causal_scores(x: np.ndarray, names: list[str], max_rounds: int = 20) -> np.ndarray:
-    """Stage-A scores of the drivers from a graph fitted to the window: lagged effects on assets at or above their 90 % point."""
+def causal_scores(x: np.ndarray, names: list[str], max_rounds: int = 20, quantile: float = 0.9) -> np.ndarray:
+    """Stage-A scores of the drivers from a graph fitted to the window: lagged effects on assets at or above their ``quantile``."""
     a, d = is_asset(names), len(names)
     z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
     both = np.hstack([z[1:], z[:-1]])
@@ -171,7 +171,7 @@ def causal_scores(x: np.ndarray, names: list[str], max_rounds: int = 20) -> np.n
     _, lagged, _ = kernels.dynamic_graph(both.T @ both / len(both), d, np.vstack([block | np.eye(d, dtype=bool), block]), max_rounds=max_rounds)
     effect = np.abs(lagged[np.ix_(~a, a)])
     found = effect[effect > 0]
-    return np.where(effect >= np.quantile(found, 0.9), effect, 0).sum(1) if len(found) else np.zeros(effect.shape[0])
+    return np.where(effect >= np.quantile(found, quantile), effect, 0).sum(1) if len(found) else np.zeros(effect.shape[0])
 
 
 def refitted_null(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES, max_rounds: int = 8) -> DataFrame:

@@ -149,7 +149,7 @@ class Tables:
         self._kept[name] = settle(df, name)
 
     def rows(self, name: str = "cal") -> int:
-        return self.kept(name).count()
+        return self.view(name).count()
 
     def view(self, name: str) -> DataFrame:
         return self._kept[name] if name in self._kept else self.sql(f"SELECT * FROM {name}")
