@@ -93,11 +93,11 @@ def test_keys_that_share_a_first_hash_are_probed_by_both():
 
 
 def test_a_line_in_every_document_goes_through_salted_shards(spark):
-    rows = [(i, f"the one line that all documents have\nline {i} stands here alone, really\nline {i // 3} stands in three documents") for i in range(400)]
+    rows = [(i, f"the one line that all documents have\nline {i} stands here alone, really\nline {i // 3} stands in three documents") for i in range(150)]
     docs = make(spark, rows)
     one = sorted(map(tuple, line_dedup.line_report(docs).collect()))
-    many = sorted(map(tuple, line_dedup.line_report(docs, broadcast_bytes=0, shard_keys=20, probe_rows=10, group_bytes=500).collect()))
-    assert one == many and sum(r[2] for r in one) == 399 + 2 * (400 // 3)
+    many = sorted(map(tuple, line_dedup.line_report(docs, broadcast_bytes=0, shard_keys=20, probe_rows=50, group_bytes=4000).collect()))
+    assert one == many and sum(r[2] for r in one) == 149 + 2 * (150 // 3)
 
 
 def test_minimal_perfect_hash_is_a_bijection():
@@ -117,7 +117,7 @@ def sets_of(rows):
     return {i: s for i, (_, s) in out.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"task_tokens": 50, "frequent": 1, "bucket_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"task_tokens": 50, "frequent": 1, "bucket_bytes": 20_000}])
 @pytest.mark.parametrize("rows", [EMPTY, ROWS, WITH_NULL_ID])
 def test_jaccard_components(spark, rows, options):
     sets = sets_of([r for r in rows if r[0] is not None])
@@ -542,7 +542,7 @@ def test_nearest_with_copies_and_repeated_ids(spark):
     ids = np.array(sorted(one))
     u = nearest.unit(np.array([one[i] for i in ids]))
     got = collections.defaultdict(list)
-    for r in nearest.nearest(df, df.filter("vec_id % 50 = 0"), part_rows=40, query_block=2, sample_rows=300).orderBy("query_id", "rank").collect():
+    for r in nearest.nearest(df, df.filter("vec_id % 50 = 0"), part_rows=150, query_block=8, sample_rows=300).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
         assert r["rank"] == len(got[r["query_id"]])
     for q in range(0, 1200, 50):
