@@ -124,8 +124,9 @@ def standardise(rows: DataFrame, key: str = "name", value: str = "v", out: str =
 def lagged(rows: DataFrame, lags: list[int], key: str = "name", at: str = "r", value: str = "v") -> DataFrame:
     """(at, key, k, lagged_v): the value ``k`` rows before, tall; rows without one go."""
     order = _along(key, at)
-    cells = F.array(*(F.struct(F.lit(k).alias("k"), F.lag(value, k).over(order).alias("lagged_v")) for k in lags))
-    return rows.select(at, key, F.explode(cells).alias("c")).select(at, key, "c.k", "c.lagged_v").filter("lagged_v is not null")
+    wide = rows.select(at, key, *(F.lag(value, k).over(order).alias(f"__{k}") for k in lags))
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"__{k}").alias("lagged_v")) for k in lags))
+    return wide.select(at, key, F.explode(cells).alias("c")).select(at, key, "c.k", "c.lagged_v").filter("lagged_v is not null")
 
 
 def realisations(rows: DataFrame, calendar: DataFrame, key: str = "name", when: str = "d", at: str = "r") -> DataFrame:

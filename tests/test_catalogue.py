@@ -8,7 +8,7 @@ from panelwright.plans.sql import TABLES, render
 
 SF = "/root/testdata/sf0.001"
 ORACLE = CATALOGUE.oracle_sql()
-NAMES = "asof_gap_lookup rolling_windows cumcorr_topk replay_undo_membership turnover time_underwater total_effect_paths bn_marginal path_probability common_edge_per trailing_window intervention_effect bn_sample ema_utility bh_fdr backtest_summary stationary_bootstrap shd_accuracy eligible_in_window".split()
+NAMES = "lagged_design asof_gap_lookup rolling_windows cumcorr_topk replay_undo_membership turnover time_underwater total_effect_paths bn_marginal path_probability common_edge_per trailing_window intervention_effect bn_sample ema_utility bh_fdr backtest_summary stationary_bootstrap shd_accuracy eligible_in_window".split()
 
 
 def plain(rows):
