@@ -174,55 +174,69 @@ def bottom_up_parce(x: np.ndarray, alpha: float = 0.1, by_f_correlation: float |
     return b
 
 
-def rcd(x: np.ndarray, max_others: int = 2, alpha: float = 0.01) -> np.ndarray:
-    """Repetitive causal discovery: ancestors by regression and independence, then parents; correlated leftovers are nan.
+def joint_p(test: Callable[..., float], *columns: list[np.ndarray]) -> float:
+    """Fisher's combination over groups of a test's p; ``columns`` hold one array a group."""
+    return dep.fisher_p([test(*group) for group in zip(*columns, strict=True)])[1]
+
+
+def _hsic_p(a: np.ndarray, b: np.ndarray) -> float:
+    return dep.hsic_test(a, b)[1]
+
+
+def multi_group_rcd(groups: list[np.ndarray], max_others: int = 2, alpha: float = 0.01) -> list[np.ndarray]:
+    """Repetitive causal discovery with one structure for all groups, every test combined over them; effects per group.
 
-    A residual must be non-normal (Shapiro-Francia) and correlated with the other residuals of its set to be judged.
+    Ancestors come from regression and independence, then parents; correlated
+    leftovers are nan.  A residual must be non-normal (Shapiro-Francia) and
+    correlated with the other residuals of its set to be judged.
     """
-    d = x.shape[1]
+    d = groups[0].shape[1]
     anc: list[set[int]] = [set() for _ in range(d)]
+
+    def left_of(j: int, given: set[int]) -> list[np.ndarray]:
+        return [residual(x[:, sorted(given)], x[:, j]) for x in groups]
+
+    def may_be_judged(y: dict[int, list[np.ndarray]]) -> bool:
+        if any(joint_p(dep.normality_p, v) > alpha for v in y.values()):
+            return False
+        return all(joint_p(dep.correlation_p, y[i], y[j]) <= alpha for i, j in combinations(y, 2))
+
+    def is_sink(i: int, y: dict[int, list[np.ndarray]]) -> bool:
+        rest = [j for j in y if j != i]
+        if any(i in anc[j] for j in rest):
+            return False
+        e = [residual(np.column_stack([y[j][g] for j in rest]), y[i][g]) for g in range(len(groups))]
+        return all(joint_p(_hsic_p, e, y[j]) > alpha for j in rest)
+
     size = 2
     while size <= max_others + 1:
         changed = False
-        for group in combinations(range(d), size):
-            common = sorted(set.intersection(*(anc[i] for i in group)))
-            if any(set(group) - {i} <= anc[i] for i in group):
+        for some in combinations(range(d), size):
+            if any(set(some) - {i} <= anc[i] for i in some):
                 continue
-            y = {i: residual(x[:, common], x[:, i]) for i in group}
-            if any(dep.normality_p(v) > alpha for v in y.values()):
-                continue
-            if any(dep.correlation_p(y[i], y[j]) > alpha for i, j in combinations(group, 2)):
-                continue
-            sinks = []
-            for i in group:
-                rest = [j for j in group if j != i]
-                if any(i in anc[j] for j in rest):
-                    continue
-                e = residual(np.column_stack([y[j] for j in rest]), y[i])
-                if all(dep.hsic_test(e, y[j])[1] > alpha for j in rest):
-                    sinks.append(i)
+            common = set.intersection(*(anc[i] for i in some))
+            y = {i: left_of(i, common) for i in some}
+            sinks = [i for i in some if is_sink(i, y)] if may_be_judged(y) else []
             if len(sinks) == 1:
-                new = (set(group) - {sinks[0]}) - anc[sinks[0]]
+                new = (set(some) - {sinks[0]}) - anc[sinks[0]]
                 anc[sinks[0]] |= new
                 changed |= bool(new)
         size = 2 if changed else size + 1
-    b = np.zeros((d, d))
-    for j in range(d):
-        parents = []
-        for i in sorted(anc[j]):
-            own = residual(x[:, sorted(anc[j] - {i})], x[:, j])
-            its = residual(x[:, sorted(anc[i] & anc[j])], x[:, i])
-            if dep.correlation_p(own, its) <= alpha:
-                parents.append(i)
-        if parents:
-            b[parents, j] = slopes(x[:, parents], x[:, j])
+    parents = [[i for i in sorted(anc[j]) if joint_p(dep.correlation_p, left_of(j, anc[j] - {i}), left_of(i, anc[i] & anc[j])) <= alpha] for j in range(d)]
+    out = [np.zeros((d, d)) for _ in groups]
+    for b, x in zip(out, groups, strict=True):
+        for j, pa in enumerate(parents):
+            if pa:
+                b[pa, j] = slopes(x[:, pa], x[:, j])
     for i, j in combinations(range(d), 2):
-        if j in anc[i] or i in anc[j]:
-            continue
-        left = [residual(x[:, np.flatnonzero(b[:, k])], x[:, k]) for k in (i, j)]
-        if dep.correlation_p(*left) <= alpha:
-            b[i, j] = b[j, i] = np.nan
-    return b
+        if j not in anc[i] and i not in anc[j] and joint_p(dep.correlation_p, left_of(i, set(parents[i])), left_of(j, set(parents[j]))) <= alpha:
+            for b in out:
+                b[i, j] = b[j, i] = np.nan
+    return out
+
+
+def rcd(x: np.ndarray, max_others: int = 2, alpha: float = 0.01) -> np.ndarray:
+    return multi_group_rcd([x], max_others, alpha)[0]
 
 
 def kernel_ridge(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
@@ -248,70 +262,87 @@ def spline_fit(x: np.ndarray, y: np.ndarray, knots: int = 5, penalty: float = 1e
 Regressor = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def resit(x: np.ndarray, regress: Regressor = kernel_ridge, alpha: float = 0.01) -> np.ndarray:
-    """0/1 parents: sinks by the least dependent regression residual, then parents the residual does not need go."""
-    left, parents = list(range(x.shape[1])), {}
+def multi_group_resit(groups: list[np.ndarray], regress: Regressor = kernel_ridge, alpha: float = 0.01) -> list[np.ndarray]:
+    """0/1 parents per group under one order: sinks by the least dependent residuals over all groups (HSIC, Fisher's
+    combination; the plain statistic for a single group), then parents that a group's residual does not need go."""
+    d = groups[0].shape[1]
+    left, parents = list(range(d)), {}
     while len(left) > 1:
         stats = []
         for j in left:
             rest = [i for i in left if i != j]
-            stats.append((dep.hsic_test(x[:, j] - regress(x[:, rest], x[:, j]), x[:, rest])[0], j))
+            tests = [dep.hsic_test(x[:, j] - regress(x[:, rest], x[:, j]), x[:, rest]) for x in groups]
+            stats.append((tests[0][0] if len(groups) == 1 else dep.fisher_p([p for _, p in tests])[0], j))
         sink = min(stats)[1]
         left.remove(sink)
         parents[sink] = list(left)
-    b = np.zeros((x.shape[1],) * 2)
-    for j, pa in parents.items():
-        for i in list(pa):
-            rest = [k for k in pa if k != i]
-            e = x[:, j] - (regress(x[:, rest], x[:, j]) if rest else x[:, j].mean())
-            if dep.hsic_test(e, x[:, pa])[1] > alpha:
-                pa.remove(i)
-        b[pa, j] = 1
-    return b
+    out = []
+    for x in groups:
+        b = np.zeros((d, d))
+        for j, every in parents.items():
+            pa = list(every)
+            for i in every:
+                rest = [k for k in pa if k != i]
+                e = x[:, j] - (regress(x[:, rest], x[:, j]) if rest else x[:, j].mean())
+                if dep.hsic_test(e, x[:, pa])[1] > alpha:
+                    pa.remove(i)
+            b[pa, j] = 1
+        out.append(b)
+    return out
 
 
-def camuv(x: np.ndarray, max_parents: int = 2, alpha: float = 0.01) -> np.ndarray:
-    """0/1 parents under additive models with unobserved variables; dependent residuals of unlinked neighbours are nan."""
-    d = x.shape[1]
-    near = [{j for j in range(d) if j != i and dep.hsic_test(x[:, i], x[:, j])[1] <= alpha} for i in range(d)]
+def resit(x: np.ndarray, regress: Regressor = kernel_ridge, alpha: float = 0.01) -> np.ndarray:
+    return multi_group_resit([x], regress, alpha)[0]
+
+
+def multi_group_camuv(groups: list[np.ndarray], max_parents: int = 2, alpha: float = 0.01) -> np.ndarray:
+    """0/1 parents, the same for all groups, under additive models with unobserved variables; tests are combined.
+
+    Dependent residuals of unlinked neighbours are nan.
+    """
+    d = groups[0].shape[1]
+    columns = [[x[:, j] for x in groups] for j in range(d)]
+    near = [{j for j in range(d) if j != i and joint_p(_hsic_p, columns[i], columns[j]) <= alpha} for i in range(d)]
     pa: list[set[int]] = [set() for _ in range(d)]
 
-    def left_of(j: int, given: set[int]) -> np.ndarray:
-        return x[:, j] - (spline_fit(x[:, sorted(given)], x[:, j]) if given else x[:, j].mean())
+    def left_of(j: int, given: set[int]) -> list[np.ndarray]:
+        return [x[:, j] - (spline_fit(x[:, sorted(given)], x[:, j]) if given else x[:, j].mean()) for x in groups]
 
     size = 2
     while size <= max_parents + 1:
         changed = False
-        for group in combinations(range(d), size):
-            if any(j not in near[i] for i, j in combinations(group, 2)) or any(j in pa[i] or i in pa[j] for i, j in combinations(group, 2)):
+        for some in combinations(range(d), size):
+            if any(j not in near[i] for i, j in combinations(some, 2)) or any(j in pa[i] or i in pa[j] for i, j in combinations(some, 2)):
                 continue
+            own = {i: left_of(i, pa[i]) for i in some}
             tried = []
-            for child in group:
-                others = set(group) - {child}
+            for child in some:
+                others = set(some) - {child}
                 e = left_of(child, pa[child] | others)
-                tried.append((min(dep.hsic_test(e, left_of(i, pa[i]))[1] for i in others), child))
+                tried.append((min(joint_p(_hsic_p, e, own[i]) for i in others), child))
             p, child = max(tried)
-            others = set(group) - {child}
-            if p <= alpha:
-                continue
-            before = left_of(child, pa[child])
-            if all(dep.hsic_test(before, left_of(i, pa[i]))[1] <= alpha for i in others):
+            others = set(some) - {child}
+            if p > alpha and all(joint_p(_hsic_p, own[child], own[i]) <= alpha for i in others):
                 pa[child] |= others
                 changed = True
         size = 2 if changed else size + 1
     for j in range(d):
         for i in sorted(pa[j]):
-            if dep.hsic_test(left_of(j, pa[j] - {i}), left_of(i, pa[i]))[1] > alpha:
+            if joint_p(_hsic_p, left_of(j, pa[j] - {i}), left_of(i, pa[i])) > alpha:
                 pa[j].discard(i)
     b = np.zeros((d, d))
     for j in range(d):
         b[sorted(pa[j]), j] = 1
     for i, j in combinations(range(d), 2):
-        if j in near[i] and not b[i, j] and not b[j, i] and dep.hsic_test(left_of(i, pa[i]), left_of(j, pa[j]))[1] <= alpha:
+        if j in near[i] and not b[i, j] and not b[j, i] and joint_p(_hsic_p, left_of(i, pa[i]), left_of(j, pa[j])) <= alpha:
             b[i, j] = b[j, i] = np.nan
     return b
 
 
+def camuv(x: np.ndarray, max_parents: int = 2, alpha: float = 0.01) -> np.ndarray:
+    return multi_group_camuv([x], max_parents, alpha)
+
+
 def high_dim_lingam(x: np.ndarray, power: int = 4, alpha: float = 0.5) -> tuple[np.ndarray, list[int]]:
     """Order by moments: a root makes |E[p^(k-1) c] E[p^2] - E[p^k] E[p c]| vanish for all c, given those before it."""
 

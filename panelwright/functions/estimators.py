@@ -9,6 +9,7 @@ import numpy as np
 from .discovery import multi_group_lingam
 from .generators import parents_first
 from .kernels import dynamic_graph
+from .variants import glm
 
 
 def plain_graph(x: np.ndarray, penalty: float = 0.02, threshold: float = 0.05) -> np.ndarray:
@@ -51,13 +52,9 @@ class GraphClassifier(GraphRegressor):
         t = (y == self.classes_[1]).astype(float)
         super().fit(x, t)
         parents = np.flatnonzero(self.coef_)
-        z = np.column_stack([x[:, parents], np.ones(len(x))])
-        b = np.zeros(z.shape[1])
-        for _ in range(50):  # Newton steps, lightly damped
-            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            b += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(b)), z.T @ (t - p) - 1e-3 * b)
+        b = glm(x[:, parents], t, "binary")
         self.coef_ = np.zeros(x.shape[1])
-        self.coef_[parents], self.intercept_ = b[:-1], float(b[-1])
+        self.coef_[parents], self.intercept_ = b[1:], float(b[0])
         return self
 
     def predict_probability(self, x: np.ndarray) -> np.ndarray:

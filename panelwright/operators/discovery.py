@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import discovery, kernels, neural
+from ..functions import discovery, kernels, neural, variants
 from .windows import EDGES, ROWS_PER_SERIES, panel, per_window
 
 #: Replicates of a bootstrap or a permutation null.
@@ -229,14 +229,57 @@ def dimensions(sensitivities: DataFrame) -> DataFrame:
     return sensitivities.groupBy("w").applyInPandas(run, "w long, dimension long")
 
 
-def shared_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effects of each of three consecutive regimes under one causal order, for every window."""
+def by_regime(fit, regimes: int = 3):
+    """``fit(matrices, names)`` gives effects of each of the consecutive regimes of a window, for every window."""
 
     def kernel(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
-        bs, _ = discovery.multi_group_lingam(np.array_split(x, 3))
+        bs = fit(np.array_split(x, regimes), names)
         return pd.concat([tall(w, names, (g, b)) for g, b in enumerate(bs)]).rename(columns={"lag": "regime"})
 
-    return per_window(panel(spark, sf_dir), kernel, "w long, regime int, src string, dst string, weight double")
+    return lambda spark, sf_dir: per_window(panel(spark, sf_dir), kernel, "w long, regime int, src string, dst string, weight double")
+
+
+def _varma(x, names):
+    bs, _, _ = variants.varma_lingam(x, 2, 1, search=True)
+    return bs
+
+
+def _two_groups(x, names):
+    """Drivers and assets as groups of variables."""
+    a = is_asset(names)
+    return [variants.group_direct_lingam(x, [list(np.flatnonzero(~a)), list(np.flatnonzero(a))])[0]]
+
+
+def _with_signs(x, names):
+    """Drivers as they are, assets as binary columns: up or not."""
+    a = is_asset(names)
+    return [variants.mixed_lingam(np.where(a, x > 0, x), ["binary" if k else "continuous" for k in a])]
+
+
+def _factors(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
+    """One factor behind the drivers and one behind the assets, over two regimes as domains."""
+    a = is_asset(names)
+    bs, _ = variants.latent_lingam(np.array_split(x, 2), [list(np.flatnonzero(~a)), list(np.flatnonzero(a))])
+    rows = [(w, g, s, t, float(b[i, j])) for g, b in enumerate(bs) for i, s in enumerate(("drivers", "assets")) for j, t in enumerate(("drivers", "assets")) if i != j]
+    return pd.DataFrame(rows, columns=["w", "domain", "src", "dst", "weight"])
+
+
+def _fit_indices(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
+    found = variants.fit_indices(x, kernels.direct_lingam(x)[0])
+    return pd.DataFrame([(w, k, v) for k, v in found.items()], columns=["w", "measure", "value"])
+
+
+def with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects in each window of all its rows, those that some series lack included."""
+    columns = [field.split()[0] for field in EDGES.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="r", columns="name", values="v").sort_index()
+        if len(wide.dropna()) < ROWS_PER_SERIES * wide.shape[1]:
+            return pd.DataFrame(columns=columns)
+        return tall(int(pdf["w"].iloc[0]), list(wide.columns), (0, variants.missing_lingam(wide.to_numpy())[0]))
+
+    return panel(spark, sf_dir).select("w", "r", "name", "v").groupBy("w").applyInPandas(run, EDGES)
 
 
 def longitudinal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +331,16 @@ def queries() -> dict:
         "notears_nonlinear_lagged": edges_query(_nonlinear(1)),
         "masked_var": edges_query(_masked),
         "total_effects": edges_query(lambda x, names: [discovery.total_effects(kernels.direct_lingam(x)[0])]),
-        "multi_group_lingam": shared_order,
+        "multi_group_lingam": by_regime(lambda xs, names: discovery.multi_group_lingam(xs)[0]),
+        "multi_group_rcd": by_regime(lambda xs, names: discovery.multi_group_rcd(xs, 1), 2),
+        "multi_group_resit": by_regime(lambda xs, names: discovery.multi_group_resit(xs), 2),
+        "multi_group_camuv": edges_query(lambda x, names: [discovery.multi_group_camuv(np.array_split(x, 2))]),
+        "group_direct_lingam": edges_query(_two_groups),
+        "varma_lingam": edges_query(_varma),
+        "missing_lingam": with_gaps,
+        "mixed_lingam": edges_query(_with_signs),
+        "latent_lingam": plain(_factors, "w long, domain int, src string, dst string, weight double"),
+        "fit_indices": plain(_fit_indices, "w long, measure string, value double"),
         "longitudinal_lingam": longitudinal,
         "bootstrap_varlingam": bootstrap,
         "permutation_null": permutation_null,
