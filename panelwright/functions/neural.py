@@ -91,18 +91,57 @@ def sensitivities(drivers: np.ndarray, assets: np.ndarray, eligible: np.ndarray
     return jac.mean(0).reshape(lags, drivers.shape[1], -1).sum(0)
 
 
-def _residual_and_loss(kind: str, eta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient of the mean loss by the linear predictor, and the loss, of one column."""
+def expand_types(x: np.ndarray, kinds: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(features, variable of each feature, kinds of the features): ``categorical:K`` becomes K indicator columns.
+
+    Permitted: ``continuous``, ``binary`` (0, 1), ``count`` (whole, from 0), ``ordinal:K`` and ``categorical:K``
+    (codes 0 to K - 1).  Raises ValueError where a column does not hold what its type permits.
+    """
+    features, owner, out = [], [], []
+    for j, kind in enumerate(kinds):
+        base, _, size = kind.partition(":")
+        column = x[:, j]
+        if base in ("ordinal", "categorical"):
+            if not size.isdecimal() or int(size) < 2:
+                raise ValueError(f"{kind!r} needs a number of levels from 2")
+            top = int(size) - 1
+        elif size or base not in ("continuous", "binary", "count"):
+            raise ValueError(f"unknown column type {kind!r}")
+        else:
+            top = {"continuous": None, "binary": 1, "count": np.inf}[base]
+        if top is not None and not ((column == np.floor(column)) & (column >= 0) & (column <= top)).all():
+            raise ValueError(f"column {j} has values that {kind!r} does not permit")
+        parts = [(column == k).astype(float) for k in range(top + 1)] if base == "categorical" else [column]
+        features += parts
+        owner += [j] * len(parts)
+        out += [kind] * len(parts)
+    return np.column_stack(features), np.array(owner), out
+
+
+def _sigmoid(t: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(t, -30, 30)))
+
+
+def _cuts(y: np.ndarray, levels: int) -> np.ndarray:
+    """Thresholds of a cumulative logit model at the shares of the levels, open at both ends."""
+    share = np.clip(np.array([(y <= k).mean() for k in range(levels - 1)]), 1e-6, 1 - 1e-6)
+    return np.concatenate([[-np.inf], np.log(share / (1 - share)), [np.inf]])
+
+
+def _residual(kind: str, eta: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Gradient of the mean loss by the linear predictors: one column of them, or the K of a categorical variable."""
     n = len(y)
     if kind == "continuous":
-        return (eta - y) / n, 0.5 * float(((eta - y) ** 2).mean())
+        return (eta - y) / n
     if kind == "binary":
-        p = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
-        return (p - y) / n, float((np.logaddexp(0, eta) - y * eta).mean())
+        return (_sigmoid(eta) - y) / n
     if kind == "count":
-        rate = np.exp(np.clip(eta, -20, 20))
-        return (rate - y) / n, float((rate - y * eta).mean())
-    raise ValueError(f"unknown column type {kind!r}")
+        return (np.exp(np.clip(eta, -20, 20)) - y) / n
+    if kind.startswith("ordinal"):
+        cuts, level = _cuts(y, int(kind.partition(":")[2])), y.astype(int)[:, 0]
+        return (1 - _sigmoid(cuts[level + 1][:, None] - eta) - _sigmoid(cuts[level][:, None] - eta)) / n
+    p = np.exp(eta - eta.max(1, keepdims=True))
+    return (p / p.sum(1, keepdims=True) - y) / n
 
 
 def nonlinear_graph(x: np.ndarray, kinds: list[str] | None = None, lags: int = 0, forbidden: np.ndarray | None = None, hidden: int = 8, l1: float = 0.01, l2: float = 0.01, rounds: int = 10, inner: int = 300, threshold: float = 0.3, seed: int = 0) -> list[np.ndarray]:
@@ -110,17 +149,21 @@ def nonlinear_graph(x: np.ndarray, kinds: list[str] | None = None, lags: int = 0
 
     A hidden layer of sigmoids per column sees all other columns and the lagged
     rows; an augmented Lagrangian drives h = tr((I + W/d)^d) - d of the lag-0
-    squared norms W to zero.  Column types: continuous, binary, count.
-    ``forbidden`` is (1 + lags, d, d).
+    squared norms W to zero.  Column types are those of ``expand_types``; the norms
+    of a categorical variable are over its indicators, which see each other only
+    at lags.  Thresholds of ordinal columns stay at the shares of their levels.
+    ``forbidden`` is (1 + lags, variables, variables).
     """
+    variables = x.shape[1]
+    x, owner, kinds = expand_types(x, kinds or ["continuous"] * variables)
     d = x.shape[1]
-    kinds = kinds or ["continuous"] * d
+    member = np.eye(variables)[owner]
+    blocks = [np.flatnonzero(owner == v) for v in range(variables)]
     scaled = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
     z = np.hstack([scaled[lags - k : len(x) - k] for k in range(lags + 1)])
     y = np.column_stack([scaled[lags:, j] if kinds[j] == "continuous" else x[lags:, j] for j in range(d)])
-    open_ = np.ones((1 + lags, d, d), bool) if forbidden is None else ~forbidden
-    open_ = open_.copy()
-    open_[0] &= ~np.eye(d, dtype=bool)
+    open_ = np.ones((1 + lags, d, d), bool) if forbidden is None else ~forbidden[:, owner][:, :, owner]
+    open_[0] &= owner[:, None] != owner
     gate = open_.reshape(-1, d).T[:, :, None].astype(float)  # target, input, 1
     rng = np.random.default_rng(seed)
     w1 = rng.normal(scale=0.3, size=(d, d * (1 + lags), hidden)) * gate
@@ -131,11 +174,12 @@ def nonlinear_graph(x: np.ndarray, kinds: list[str] | None = None, lags: int = 0
         for _ in range(inner):
             s = 1 / (1 + np.exp(-np.clip(np.einsum("ni,jim->njm", z, w1) + b1, -30, 30)))
             eta = np.einsum("njm,jm->nj", s, w2) + b2
-            g = np.column_stack([_residual_and_loss(kinds[j], eta[:, j], y[:, j])[0] for j in range(d)])
+            g = np.column_stack([_residual(kinds[b[0]], eta[:, b], y[:, b]) for b in blocks])
             pre = g[:, :, None] * w2 * s * (1 - s)
-            sq = (w1[:, :d] ** 2).sum(2).T
-            power = np.linalg.matrix_power(np.eye(d) + sq / d, d - 1)
-            h = float((power * (np.eye(d) + sq / d).T).sum()) - d
+            base = np.eye(variables) + member.T @ (w1[:, :d] ** 2).sum(2).T @ member / variables
+            power = np.linalg.matrix_power(base, variables - 1)
+            h = float((power * base.T).sum()) - variables
+            power = member @ power @ member.T
             gw1 = np.einsum("ni,njm->jim", z, pre) + l2 * w1
             norm = np.sqrt((w1**2).sum(2, keepdims=True) + 1e-12)
             gw1 += l1 * w1 / norm
@@ -147,6 +191,7 @@ def nonlinear_graph(x: np.ndarray, kinds: list[str] | None = None, lags: int = 0
         if h > 0.25 * h_old:
             rho *= 10
         h_old = h
-    strength = np.sqrt((w1**2).sum(2)).T * (gate[:, :, 0].T > 0)
+    squares = ((w1**2).sum(2) * gate[:, :, 0]).T.reshape(1 + lags, d, d)
+    strength = np.sqrt(member.T @ squares @ member)
     strength = np.where(strength < threshold, 0, strength)
-    return [break_cycles(strength[:d]), *(strength[(k + 1) * d : (k + 2) * d] for k in range(lags))]
+    return [break_cycles(strength[0]), *strength[1:]]

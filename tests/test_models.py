@@ -74,3 +74,40 @@ def test_supervised_cuts():
     three = np.array([[30, 0, 0]] * 3 + [[0, 30, 0]] * 3 + [[0, 0, 30]] * 4)
     assert discretise.mdlp(values, three) == [2.5, 5.5] == discretise.tree_cuts(values, three)
     assert discretise.mdlp(values[:1], counts[:1]) == []
+
+
+def test_column_types_are_checked_and_expanded():
+    x = np.array([[0.5, 1, 2, 0], [1.5, 0, 0, 3], [2.5, 1, 1, 1]])
+    features, owner, kinds = neural.expand_types(x, ["continuous", "binary", "categorical:3", "count"])
+    assert owner.tolist() == [0, 1, 2, 2, 2, 3] and features[:, 2:5].tolist() == [[0, 0, 1], [1, 0, 0], [0, 1, 0]]
+    for column, kind in ((0, "binary"), (2, "binary"), (3, "categorical:3"), (3, "ordinal:2"), (0, "count"), (0, "text"), (0, "ordinal"), (1, "binary:2")):
+        with pytest.raises(ValueError):
+            neural.expand_types(x[:, [column]], [kind])
+
+
+def test_gradients_of_the_losses():
+    rng = np.random.default_rng(0)
+    level = rng.integers(0, 3, 40).astype(float)[:, None]
+    cuts = neural._cuts(level, 3)
+
+    def ordinal(eta):
+        k = level.astype(int)[:, 0]
+        return -np.log(neural._sigmoid(cuts[k + 1] - eta[:, 0]) - neural._sigmoid(cuts[k] - eta[:, 0])).mean()
+
+    one_hot = np.eye(3)[level.astype(int)[:, 0]]
+    softmax = lambda eta: (np.log(np.exp(eta).sum(1)) - (eta * one_hot).sum(1)).mean()
+    for kind, loss, y, eta in (("ordinal:3", ordinal, level, rng.normal(size=(40, 1))), ("categorical:3", softmax, one_hot, rng.normal(size=(40, 3)))):
+        got = neural._residual(kind, eta, y)
+        for i, j in ((0, 0), (7, eta.shape[1] - 1)):
+            step = np.zeros_like(eta)
+            step[i, j] = 1e-5
+            assert got[i, j] == pytest.approx((loss(eta + step) - loss(eta - step)) / 2e-5, abs=1e-6)
+
+
+def test_nonlinear_graph_of_levels_and_classes():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=600)
+    level = np.digitize(1.5 * a + rng.logistic(size=600), [-1, 1]).astype(float)
+    kind = np.where(a > 0.5, 2, np.where(a < -0.5, 0, 1)).astype(float)
+    m = neural.nonlinear_graph(np.column_stack([a, level, kind, rng.normal(size=600)]), ["continuous", "ordinal:3", "categorical:3", "continuous"], forbidden=np.isin(np.arange(16), [4, 8, 6, 9]).reshape(1, 4, 4))[0]
+    assert m.shape == (4, 4) and m[0, 1] > 0 and m[0, 2] > 0 and not m[3].any() and not m[:, 3].any()
