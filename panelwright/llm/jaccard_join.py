@@ -22,8 +22,11 @@ frequent, by the logarithm of the number of documents and then by hash.
 3. Documents that share an index entry are candidates; their closure under
    candidacy (entries link each holder to the least one, so rows stay linear)
    is solved exactly, by overlap counts over the tokens, skipping pairs already
-   connected.  A closure above ``TASK_TOKENS`` is cut into blocks, and every
-   pair of blocks is a task of its own.
+   connected.  Of documents with one set that meet in a task of step 2 only the
+   least goes on.  A closure above ``TASK_TOKENS`` is cut into blocks.  Each block
+   first meets ``PIVOTS`` documents of the closure, which joins a large group of
+   copies in linear work; then blocks meet in pairs, but for two of one group
+   that is already joined.
 
 Defined results: null, empty or wordless texts have size 0 and their own id as
 component; rows without an id get no component; rows that share an id count as
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -49,6 +52,7 @@ BUCKET_BYTES = 8 << 20
 SEND_BYTES = 3 << 20
 TASK_TOKENS = 4_000_000
 BROADCAST_ROWS = 1_000_000
+PIVOTS = 16
 FREQUENT = 7  # class floor(log2(documents)) from which tokens are indexed in combinations
 _NAME = tk.U64((1 << 48) - 1)
 _KEYS = "key int, kind int, docs binary, counts binary, names binary, classes binary"
@@ -183,11 +187,15 @@ def prefix_entries(n: int, tokens: np.ndarray, classes: np.ndarray, percent: int
         return np.concatenate([tokens[:cut], tk.mix(often[:pairs] * tk.U64(tk._BASE) + often[1 : pairs + 1])])
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("entries", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("entries", pa.list_(pa.int64())), ("same", pa.int64())])
+_SETS_DDL = "doc_id long, n long, tokens binary, entries array<long>, same long"
 
 
 def _assemble(percent: int, frequent: int):
-    """In a group of documents: each one's size, shared tokens in order and index entries."""
+    """In a group of documents: each one's size, shared tokens in order and index entries.
+
+    A set that the group has already is left to its least document, which ``same`` names.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -206,12 +214,15 @@ def _assemble(percent: int, frequent: int):
         order = np.argsort(ids)
         ids, size = ids[order], size[order]
         lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
-        tokens, entries = [], []
-        for n, i, j in zip(size.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            got = prefix_entries(n, token[i:j], classes[i:j], percent, frequent) if i < j else None
-            tokens.append(None if got is None else token[i:j].tobytes())
+        tokens, entries, same, first = [], [], [], {}
+        for doc_id, n, i, j in zip(ids.tolist(), size.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            blob = token[i:j].tobytes()
+            least = first.setdefault(blob, doc_id) if 0 < n == j - i else doc_id
+            got = prefix_entries(n, token[i:j], classes[i:j], percent, frequent) if i < j and least == doc_id else None
+            tokens.append(None if got is None else blob)
             entries.append(None if got is None else got.view(np.int64))
-        return pa.table([pa.array(ids), pa.array(size), pa.array(tokens, pa.binary()), pa.array(entries, pa.list_(pa.int64()))], schema=_SETS)
+            same.append(None if least == doc_id else least)
+        return pa.table([pa.array(ids), pa.array(size), pa.array(tokens, pa.binary()), pa.array(entries, pa.list_(pa.int64())), pa.array(same, pa.int64())], schema=_SETS)
 
     return run
 
@@ -307,8 +318,8 @@ class _Forest:
         self.root[np.isin(self.root, roots[1:])] = roots[0]
 
 
-def link_sets(size: np.ndarray, at: np.ndarray, token: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Component label of each set under links of Jaccard >= percent/100.
+def link_sets(size: np.ndarray, at: np.ndarray, token: np.ndarray, percent: int = PERCENT, known: np.ndarray | None = None) -> np.ndarray:
+    """Component label of each set under links of Jaccard >= percent/100; sets of one ``known`` label are connected.
 
     ``token[at[i]:at[i+1]]`` are the tokens of set i that others have too.  Sets
     are taken from the one with the largest shared part on, each against those
@@ -322,6 +333,9 @@ def link_sets(size: np.ndarray, at: np.ndarray, token: np.ndarray, percent: int
     place = np.empty(m, np.int64)
     place[order] = np.arange(m)
     forest = _Forest(m)
+    if known is not None:
+        _, first, group = np.unique(known, return_index=True, return_inverse=True)
+        forest.root = first[group]
     for k, a in enumerate(order[:-1]):
         c = order[k + 1 :]
         c = c[forest.root[c] != forest.root[a]]
@@ -351,13 +365,14 @@ def _solve(percent: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("closure", "ascending"), ("doc_id", "ascending")])
         ids, closure, size = (t[c].to_numpy() for c in ("doc_id", "closure", "n"))
+        known = t["root"].to_numpy() if "root" in t.column_names else ids
         blobs = t["tokens"].combine_chunks() if t["tokens"].num_chunks != 1 else t["tokens"].chunk(0)
         data, offsets = tk.buffers(blobs)
         token, at = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
         label = np.empty(len(ids), np.int64)
         cuts = np.flatnonzero(np.r_[True, closure[1:] != closure[:-1]])
         for i, j in zip(cuts, [*cuts[1:], len(ids)][: len(cuts)], strict=True):
-            root = link_sets(size[i:j], at[i : j + 1] - at[i], token[at[i] : at[j]], percent)
+            root = link_sets(size[i:j], at[i : j + 1] - at[i], token[at[i] : at[j]], percent, known[i:j])
             label[i:j] = ids[i:j][root]
         return pa.table({"a": pa.array(ids), "b": pa.array(label)})
 
@@ -365,11 +380,47 @@ def _solve(percent: int):
 
 
 def jaccard_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n, tokens, entries) of documents with distinct ids; tokens and entries null where no partner is possible."""
+    """(doc_id, n, tokens, entries, same) of documents with distinct ids; tokens and entries null where no partner is
+    possible or ``same`` names a document with the same set."""
     buckets = max(8, -(-text_bytes(docs) // bucket_bytes))
     sent = docs.select("doc_id", "text").mapInArrow(tidied_batches(_send(buckets, words)), _KEYS)
     counted = sent.groupBy("key").applyInArrow(tidied(_count(buckets)), _KEYS)
-    return settle(counted.groupBy("key").applyInArrow(tidied(_assemble(percent, frequent)), "doc_id long, n long, tokens binary, entries array<long>"), "sets")
+    return settle(counted.groupBy("key").applyInArrow(tidied(_assemble(percent, frequent)), _SETS_DDL), "sets")
+
+
+_LINKS = "a long, b long"
+
+
+def _large_links(large: DataFrame, percent: int, task_tokens: int, total: int) -> DataFrame:
+    """Links inside closures too large for a task: with a few pivots first, then between blocks not yet of one group.
+
+    A group of copies that holds a third of all rows is joined by the pivots, so its blocks do not meet each other;
+    what the pivots leave apart is compared block by block, so no link is lost.
+    """
+    bounded = F.broadcast if total // task_tokens <= BROADCAST_ROWS else (lambda t: t)
+    number = F.row_number().over(Window.partitionBy("closure").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    pivots = large.select("doc_id", "n", "tokens", "closure", "blocks").withColumn("k", number).filter(F.col("k") <= PIVOTS).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    columns = ["doc_id", "n", "tokens", "closure", "block"]
+    first = large.withColumn("block", block).select(*columns).unionByName(pivots.select(*columns)).dropDuplicates(["closure", "block", "doc_id"])
+    joined = settle(first.groupBy("closure", "block").applyInArrow(tidied(_solve(percent)), _LINKS).filter("a <> b").distinct(), "pivot-links")
+    roots = settle(connected_components(joined, "a", "b"), "pivot-groups").withColumnsRenamed({"node": "doc_id", "component": "root"})
+    member = settle(large.select("doc_id", "closure", F.expr("octet_length(tokens) div 8").alias("load")).join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "pivot-members")
+    # Groups above half a task's tokens are parts of their own, 2 * total / task_tokens at most; the rest of a closure is one part.
+    groups = member.groupBy("closure", "root").agg(F.sum("load").alias("load"))
+    parts = settle(groups.withColumn("part", F.when(F.col("load") * 2 > task_tokens, F.col("root"))).groupBy("closure", "part").agg(F.sum("load").alias("load")), "parts")
+    parts = parts.withColumn("pieces", F.ceil(F.col("load") * 2 / task_tokens).cast("int"))
+    own = bounded(parts.filter("part is not null").select("closure", F.col("part").alias("root"), F.col("pieces").alias("own_pieces")))
+    rest = bounded(parts.filter("part is null").select("closure", F.col("pieces").alias("rest_pieces")))
+    pieces = F.coalesce("own_pieces", "rest_pieces")
+    placed = member.join(own, ["closure", "root"], "left").join(rest, "closure", "left").select("doc_id", "root", F.when(F.col("own_pieces").isNotNull(), F.col("root")).alias("part"), F.pmod(F.xxhash64("doc_id"), pieces).cast("int").alias("piece"))
+    blocks = parts.select("closure", "part", F.explode(F.expr("sequence(0, pieces - 1)")).alias("piece"))
+    x, y = (blocks.select("closure", F.col("part").alias(f"part_{k}"), F.col("piece").alias(f"piece_{k}"), F.concat_ws("/", F.coalesce(F.col("part").cast("string"), F.lit("-")), "piece").alias(k)) for k in "xy")
+    met = x.join(y, "closure").filter("x <= y and (part_x is null or part_y is null or part_x <> part_y)").withColumn("task", F.concat_ws(" ", F.col("closure").cast("string"), "x", "y"))
+    sides = [met.select("closure", F.col(f"part_{k}").alias("part"), F.col(f"piece_{k}").alias("piece"), "task") for k in "xy"]
+    tasks = settle(sides[0].unionByName(sides[1]).distinct(), "block-pairs")
+    cells = large.select("doc_id", "n", "tokens", "closure").join(placed, "doc_id").alias("m").join(tasks.alias("t"), F.expr("m.closure = t.closure and m.part <=> t.part and m.piece = t.piece")).select("m.doc_id", "m.n", "m.tokens", "m.closure", "m.root", "t.task")
+    return cells.groupBy("task").applyInArrow(tidied(_solve(percent)), _LINKS).unionByName(joined)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, task_tokens: int = TASK_TOKENS, **options) -> DataFrame:
@@ -393,17 +444,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     if int(total["t"]) // task_tokens <= BROADCAST_ROWS:
         large_ones = F.broadcast(large_ones)
     small = tasks.join(large_ones, "closure", "left_anti").withColumn("task", F.pmod(F.xxhash64("closure"), F.lit(bins)).cast("string"))
-    solve = "a long, b long"
-    links = small.groupBy("task").applyInArrow(tidied(_solve(percent)), solve)
+    links = small.groupBy("task").applyInArrow(tidied(_solve(percent)), _LINKS)
     if total["m"] > task_tokens:
-        large = tasks.join(large_ones, "closure")
-        block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-        pairs = large.withColumn("own", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("task", F.concat_ws("-", F.col("closure"), F.least("own", "other"), F.greatest("own", "other")))
-        links = links.unionByName(pairs.select("doc_id", "n", "tokens", "closure", "task").groupBy("task").applyInArrow(tidied(_solve(percent)), solve))
-        found = connected_components(settle(links.filter("a <> b").distinct(), "links"), "a", "b").withColumnsRenamed({"node": "doc_id", "component": "component_id"})
+        large = tasks.join(large_ones.select("closure", "blocks"), "closure")
+        links = links.unionByName(_large_links(large, percent, task_tokens, int(total["t"])))
+        found = connected_components(settle(links.filter("a <> b").distinct(), "links"), "a", "b").withColumnsRenamed({"node": "a", "component": "component_id"})
     else:
-        found = links.withColumnsRenamed({"a": "doc_id", "b": "component_id"})
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        found = links.withColumnRenamed("b", "component_id")
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("same", "doc_id").alias("a")).join(found, "a", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "a").alias("component_id"))
     if repeats:
         out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").join(out, "doc_id")
     nameless = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -139,6 +139,30 @@ def test_jaccard_components(spark, rows, options):
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]))
 
 
+@pytest.mark.parametrize("pivots", [1, 16])
+def test_large_closures_of_copies_lose_no_link(spark, monkeypatch, pivots):
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    rng = np.random.default_rng(3)
+    base = [[f"w{g}x{k}" for k in range(60)] for g in range(3)]
+    rows = [(i, " ".join(base[0])) for i in range(80)]  # exact copies
+    for i in range(80, 160):  # near copies of three texts, and chains of them
+        words = list(base[i % 3])
+        words[int(rng.integers(60))] = f"e{i % 7}"
+        rows.append((i, " ".join(words)))
+    rows += [(160 + k, " ".join(base[0][:40] + base[1][:25] + [f"t{k}"])) for k in range(10)]  # half of each: linked among themselves
+    docs = make(spark, rows)
+    sets, root = sets_of(rows), {i: i for i, _ in rows}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, task_tokens=400, frequent=2).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
 def test_prefix_entries_meet_for_every_linked_pair():
     rng = np.random.default_rng(2)
     for _ in range(300):
