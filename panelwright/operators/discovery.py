@@ -239,9 +239,12 @@ def by_regime(fit, regimes: int = 3):
     return lambda spark, sf_dir: per_window(panel(spark, sf_dir), kernel, "w long, regime int, src string, dst string, weight double")
 
 
-def _varma(x, names):
-    bs, _, _ = variants.varma_lingam(x, 2, 1, search=True)
-    return bs
+def _varma(w: int, names: list[str], x: np.ndarray) -> pd.DataFrame:
+    """Effects of values (``of`` is value) and of past errors (error), by lag."""
+    bs, omegas, _ = variants.varma_lingam(x, 2, 1, search=True)
+    values = tall(w, names, *enumerate(bs)).assign(of="value")
+    errors = tall(w, names, *enumerate(omegas, 1)).assign(of="error")
+    return pd.concat([values, errors])[["w", "of", "lag", "src", "dst", "weight"]]
 
 
 def _two_groups(x, names):
@@ -336,7 +339,7 @@ def queries() -> dict:
         "multi_group_resit": by_regime(lambda xs, names: discovery.multi_group_resit(xs), 2),
         "multi_group_camuv": edges_query(lambda x, names: [discovery.multi_group_camuv(np.array_split(x, 2))]),
         "group_direct_lingam": edges_query(_two_groups),
-        "varma_lingam": edges_query(_varma),
+        "varma_lingam": plain(_varma, "w long, of string, lag int, src string, dst string, weight double"),
         "missing_lingam": with_gaps,
         "mixed_lingam": edges_query(_with_signs),
         "latent_lingam": plain(_factors, "w long, domain int, src string, dst string, weight double"),
